@@ -2,18 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folds(id_col: str, n: int) -> Column:
+    """The fold of a row: crc32 of its id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.ngram_join import ngram_jaccard_components
 
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=40, carry=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.langid import detect_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", folds("doc_id", 5) == 0)
+    return detect_language(docs, train=~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+#: Domains of the sources and the weights of the tree's nodes among their siblings; a node that isn't named weighs 1.
+DOMAIN = F.when(F.col("source").rlike("^src[0-4]$"), "web").when(F.col("source").rlike("^src[5-9]$"), "forum").when(F.col("source").isNotNull(), "reference")
+WEIGHTS = [{"web": 2.0, "forum": 1.0, "reference": 3.0}, {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, {"src0": 2.0, "src9": 3.0}]
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = mix_sources(docs, DOMAIN, WEIGHTS, fraction=0.8, max_epochs=3, seed=42)
+    return out.select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.decontamination import benchmark_hits
+
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
