@@ -21,6 +21,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.sharding import shard_documents
 
