@@ -40,6 +40,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_language(docs, train=~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", folds("doc_id", 4) == 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    labelled = docs.filter(~F.col("held_out")).join(labels, "doc_id").select("doc_id", "text", "label")
+    return score_toxicity(docs, labelled).select("doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending")
+
+
 #: Domains of the sources and the weights of the tree's nodes among their siblings; a node that isn't named weighs 1.
 DOMAIN = F.when(F.col("source").rlike("^src[0-4]$"), "web").when(F.col("source").rlike("^src[5-9]$"), "forum").when(F.col("source").isNotNull(), "reference")
 WEIGHTS = [{"web": 2.0, "forum": 1.0, "reference": 3.0}, {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, {"src0": 2.0, "src9": 3.0}]
