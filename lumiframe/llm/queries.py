@@ -33,6 +33,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40, carry=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.line_dedup import line_components
+
+    lines = line_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    dropped = F.sort_array(F.collect_set(F.when(~F.col("keep"), F.col("line"))))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("keep").alias("n_kept"), dropped.alias("dropped_lines"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.langid import detect_language
 
