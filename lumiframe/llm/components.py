@@ -10,16 +10,18 @@ from lumiframe.llm.storage import Scratch
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of its neighbourhood."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # the pairs (larger neighbour, node) are the edges themselves, each with v as the node, and their mirror gives none
+    return edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node's smaller neighbours, and the node itself, to the least of them. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
-    return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    kept = edges.join(least, "u")
+    pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+    return kept.select(F.explode(pairs).alias("e")).select("e.u", "e.v").filter("u <> v")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -27,17 +29,16 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     that is reachable. Null ends and loops are ignored; a node without an edge isn't returned.
 
     Each round is two aggregations with map-side partials and two equi-joins, written to the shared folder, so neither
-    a hub nor the number of rounds lengthens the lineage. Nothing but a count and a checksum reaches the driver."""
+    a hub nor the number of rounds lengthens the lineage. It ends when no target of an edge has an edge to a smaller
+    node, that is when all trees are stars. Nothing but that answer reaches the driver."""
     now = scratch.save(
         edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    mark = None
     while True:
-        step = scratch.save(_small_star(_large_star(now).distinct()).distinct(), "star")
+        sources = now.groupBy("u").agg(F.count("*").alias("n"))
+        if now.select("v").join(sources.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and sources.filter("n > 1").isEmpty():
+            break
+        step = scratch.save(_small_star(_large_star(now)).distinct(), "star")
         scratch.drop(now)
         now = step
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,20 +2,26 @@
 
 Two linked nodes share a bucket. In a bucket every node is first compared with one pivot only, so a bucket of copies
 costs as many comparisons as it has nodes. What the stars have joined into one component needs no further comparison.
-Buckets that still hold several components get new pivots while that pays, then exactly the pairs that lie in
-different components and haven't been compared yet. So no link between different components is lost, and the work
-beyond the stars is only for buckets whose nodes really differ."""
+While that joins much, the buckets that still hold several components get new pivots. Then, within those buckets, the
+profiles of nodes in different components are compared: a profile bounds from above how similar two nodes can be, so
+only pairs that may be linked become rows, and these are verified. No link between different components is lost."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm.components import connected_components
 from lumiframe.llm.storage import Scratch
 
+#: Nodes of one part of a bucket; larger buckets are compared part by part.
+PART = 1024
+
 
 def shared_buckets(keyed: DataFrame) -> DataFrame:
     """The rows (key, node) whose key has two or more different nodes. The counting side aggregates map-side and the
@@ -24,49 +30,94 @@ def shared_buckets(keyed: DataFrame) -> DataFrame:
     return keyed.join(bounds, "key")
 
 
-def _pairs(left: str, right: str) -> list:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+def _open_pairs(left: DataFrame, profiles: DataFrame, may_link: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The pairs of a bucket's nodes in different components whose profiles allow a link."""
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = left.join(sizes, "key").join(profiles, "node")
+    own = own.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # a part meets itself and each other part once
+    other = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = own.withColumn("o", F.explode(other)).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), F.col("p"), "node", "component", "n", "profile")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None  # the last bucket part of what came so far may go on
+        for batch in itertools.chain(batches, [None]):
+            now = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if now is None or not now.num_rows:
+                continue
+            key, i, j, p, node, comp, n = (now.column(c).to_numpy() for c in ("key", "i", "j", "p", "node", "component", "n"))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            starts = np.flatnonzero(new)
+            done = len(key) if batch is None else int(starts[-1])
+            rest = now.slice(done)
+            if not done:
+                continue
+            ends = np.append(starts[starts < done], done)
+            stop = np.repeat(ends[1:], np.diff(ends))
+            prof = np.frombuffer(b"".join(now.column("profile").slice(0, done).to_pylist()), dtype=np.uint8).reshape(done, -1)
+            for step in range(1, int(np.diff(ends).max())):
+                x = np.flatnonzero(np.arange(step, done + step) < stop)
+                y = x + step
+                ok = (comp[x] != comp[y]) & ((i[x] == j[x]) | (p[x] != p[y])) & (node[x] != node[y])
+                x, y = x[ok], y[ok]
+                for at in range(0, len(x), 1 << 14):
+                    a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+                    ok = may_link(n[a], prof[a], n[b], prof[b])
+                    a, b = node[a[ok]], node[b[ok]]
+                    if len(a):
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint")
 
 
 def link_components(
-    members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    scratch: Scratch,
-    known: DataFrame | None = None,
-    rounds: int = 6,
-) -> tuple[DataFrame, DataFrame]:
-    """(components, links) of the nodes of `members` (key, node: distinct, saved). verify takes pairs (a, b) and
-    returns those that are linked; known holds links that need no check. Links are those that were found on the way
-    and suffice for the components: within a component they aren't all of its links."""
-    links = known if known is not None else members.sparkSession.createDataFrame([], "a bigint, b bigint")
-    tested: DataFrame | None = None
-    left = members
-    before = None
+    members: DataFrame, profiles: DataFrame, may_link: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame, rounds: int = 4
+) -> DataFrame:
+    """(node, component) of the linked nodes. members: (key, node), distinct and saved; profiles: (node, n, profile);
+    may_link(n, profiles, n of the others, their profiles) must hold for every linked pair; verify takes pairs (a, b) and returns those
+    that are linked; known: links (a, b) that need no check."""
+    components: DataFrame | None = None
+    left, tested, before = members, None, None
     for turn in range(rounds + 1):
-        if before is not None and before <= 4 * size or turn == rounds:
-            pairs = left.alias("x").join(left.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.component <> y.component")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            last = True
-        else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"))
-            pivot = left.groupBy("key").agg(F.min(order)["pivot"].alias("pivot"))
-            pairs = left.join(pivot, "key").filter("node <> pivot").select(*_pairs("node", "pivot"))
-            last = False
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        found = scratch.save(verify(pairs), "links")
-        links = found if known is None and turn == 0 else links.unionByName(found)
-        components = connected_components(links, scratch)
-        if last:
-            return components, links
-        tested = pairs if tested is None else scratch.save(tested.unionByName(pairs), "tested")
-        named = left.select("key", "node").join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        left = scratch.save(named.join(open_, "key"), "open")
-        each = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        size, cross = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
-        if size == 0:
-            return components, links
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"))
+        pivot = left.groupBy("key").agg(F.min(order)["pivot"].alias("pivot"))
+        stars = left.join(pivot, "key").filter("node <> pivot")
+        if components is not None:
+            stars = stars.select("node", "pivot").distinct()
+        pairs = scratch.save(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+        components, merged = _merge(components, verify(pairs), known if turn == 0 else None, scratch)
+        left, size, cross = _still_open(left, components, scratch)
+        if not size:
+            return components
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if cross <= 4 * size or before is not None and cross > before / 2:
+            break
         before = cross
-    raise AssertionError
+    pairs = _open_pairs(left, profiles, may_link).distinct().join(tested, ["a", "b"], "left_anti")
+    return _merge(components, verify(scratch.save(pairs, "pairs")), None, scratch)[0]
+
+
+def _merge(components: DataFrame | None, found: DataFrame, known: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Components after new links. Links are drawn between the components there are, so that later rounds work on the
+    few that change."""
+    found = scratch.save(found, "links")
+    if components is None:
+        return scratch.save(connected_components(found if known is None else found.unionByName(known), scratch), "components"), True
+    if found.isEmpty():
+        return components, False
+    side = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    drawn = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = scratch.save(connected_components(drawn, scratch), "merged")
+    moved = components.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    fresh = up.join(components.select("node"), "node", "left_anti")
+    return scratch.save(moved.unionByName(fresh.select("node", "component")), "components"), True
+
+
+def _still_open(left: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, float]:
+    """The buckets that hold several components, their rows, and the pairs of rows across components."""
+    named = left.select("key", "node").join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    named = scratch.save(named, "named")
+    each = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    each = scratch.save(each.filter("n * n > own"), "open")
+    size, cross = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
+    return named.join(each.select("key"), "key"), size, cross

@@ -33,6 +33,8 @@ from lumiframe.llm.linking import link_components, shared_buckets
 from lumiframe.llm.storage import Scratch
 
 BAND_RATIO = 1.5
+#: Ranges of a set's profile.
+PROFILE = 128
 _SEG, _ELEM, _KEY, _RESCUE = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x428A2F98D728AE22, 0x3956C25BF348B538))
 
 
@@ -117,11 +119,12 @@ def _index(shingle: int, num: int, den: int, keyed: bool):
         lows = bands(num, den)
         for batch in batches:
             for at, words in W.slices(batch.column(1)):
-                sizes, f1, f2, keys, cuts = [], [], [], [], [0]
+                sizes, f1, f2, profiles, keys, cuts = [], [], [], [], [], [0]
                 for own in W.shingle_sets(words, shingle):
                     sizes.append(len(own))
                     f1.append(int(W.mix(own).sum()))
                     f2.append(int(W.mix(own ^ _ELEM).sum()))
+                    profiles.append(_profile(own) if keyed else None)
                     if keyed:
                         keys.append(signatures(own, lows, num, den))
                         cuts.append(cuts[-1] + len(keys[-1]))
@@ -135,15 +138,33 @@ def _index(shingle: int, num: int, den: int, keyed: bool):
                         pa.array(sizes, pa.int64()),
                         pa.array(np.array(f1, dtype=np.uint64).view(np.int64)),
                         pa.array(np.array(f2, dtype=np.uint64).view(np.int64)),
+                        pa.array(profiles, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
                     ],
-                    names=["node", "n", "f1", "f2", "keys"],
+                    names=["node", "n", "f1", "f2", "profile", "keys"],
                 )
 
     return run
 
 
-_SCHEMA = "node bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>"
+_SCHEMA = "node bigint, n bigint, f1 bigint, f2 bigint, profile binary, keys array<bigint>"
+
+
+def _profile(own: np.ndarray) -> bytes:
+    """The set's elements counted in PROFILE ranges of a hash. Two sets differ in at least the sum of the differences."""
+    return np.minimum(np.bincount((W.mix(own ^ _RESCUE) >> np.uint64(57)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(num: int, den: int):
+    def test(n: np.ndarray, profiles: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+        ok = np.minimum(n, m) * den >= np.maximum(n, m) * num
+        at = np.flatnonzero(ok)
+        allowed = n[at] + m[at] - 2 * -(-num * (n[at] + m[at]) // (num + den))
+        apart = np.maximum(profiles[at], others[at]) - np.minimum(profiles[at], others[at])
+        ok[at] = apart.sum(axis=1, dtype=np.int32) <= allowed
+        return ok
+
+    return test
 
 
 def _verify(num: int, den: int):
@@ -184,21 +205,21 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     first = narrow.groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), F.max("node").alias("hi")).filter("rep < hi").select("n", "f1", "f2", "rep")
     same = scratch.save(narrow.join(first, ["n", "f1", "f2"]).filter("node <> rep").select("node", "rep").distinct(), "same")
 
-    keyed = full.select("node", F.explode("keys").alias("key"))
-    met = shared_buckets(keyed).join(same, "node", "left").select("key", F.coalesce("rep", "node").alias("node")).distinct()
-    met = scratch.save(shared_buckets(met), "members")
+    met = scratch.save(shared_buckets(full.select("node", F.explode("keys").alias("key"))), "met")
+    members = scratch.save(met.join(same, "node", "left").select("key", F.coalesce("rep", "node").alias("node")).distinct(), "members")
+    scratch.drop(met)
 
-    involved = met.select("node").distinct()
-    own = scratch.save(texts.join(involved, "node", "left_semi").mapInArrow(_index(shingle, num, den, False), _SCHEMA).dropDuplicates(["node", "f1", "f2"]).select("node", "n", "keys"), "own")
+    involved = members.select("node").distinct()
+    own = texts.join(involved, "node", "left_semi").mapInArrow(_index(shingle, num, den, False), _SCHEMA)
+    own = scratch.save(own.select("node", "n", "keys"), "own")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sizes = own.select("node", "n")
-        fit = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        fit = fit.filter(F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")).select("a", "b").distinct()
-        both = fit.join(own.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(own.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
-        return both.select("a", "b", "ka", "kb").mapInArrow(_verify(num, den), "a bigint, b bigint").distinct()
-
-    components, _ = link_components(met, verify, scratch, known=same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    components = scratch.save(components, "components")
-    scratch.drop(met, own)
+        left = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+        right = own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+        both = pairs.join(left, "a").join(right, "b").filter(F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}"))
+        return both.select("a", "b", "ka", "kb").mapInArrow(_verify(num, den), "a bigint, b bigint")
+
+    profiles = full.select("node", "n", "profile")
+    components = link_components(members, profiles, _may_link(num, den), verify, scratch, same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    scratch.drop(members, own)
     return sets.select("node", "n").join(components, "node", "left").select(F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

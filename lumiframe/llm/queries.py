@@ -57,6 +57,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labelled).select("doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.warc import build_derivatives, responses_of_pages
+
+    records = build_derivatives(responses_of_pages(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
+    return records.select(F.col("source_id").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest")
+
+
 #: Domains of the sources and the weights of the tree's nodes among their siblings; a node that isn't named weighs 1.
 DOMAIN = F.when(F.col("source").rlike("^src[0-4]$"), "web").when(F.col("source").rlike("^src[5-9]$"), "forum").when(F.col("source").isNotNull(), "reference")
 WEIGHTS = [{"web": 2.0, "forum": 1.0, "reference": 3.0}, {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, {"src0": 2.0, "src9": 3.0}]
@@ -70,6 +77,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumiframe.llm.lm_score import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", folds("doc_id", 10) == 0)
+    return score_texts(docs, train=~F.col("held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.decontamination import benchmark_hits
 
