@@ -150,7 +150,8 @@ class Benchmark:
             for d, i, s in zip(doc[rows].tolist(), items.tolist(), start[rows].tolist(), strict=True):
                 size, n = int(bounds[d + 1] - bounds[d]), len(self.hashes[i])
                 reach = band.step + abs(n - band.blocks * band.step)
-                near[d, i].update(range(max(0, s - reach), max(1, min(s + reach, size - n) + 1)))
+                low, high = max(0, min(s - reach, size - n)), max(0, min(s + reach, size - n))
+                near[d, i].update(range(low, high + 1))
         out = []
         for (d, i), starts in near.items():
             own, n = hashes[bounds[d] : bounds[d + 1]].tolist(), len(self.hashes[i])
