@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm import words as W
-from lumiframe.llm.linking import link_components, shared_buckets
-from lumiframe.llm.ngram_join import _may_link, _profile, _verify
+from lumiframe.llm.linking import BITS, bitmap, distinct_buckets, in_bitmap, link_components, shared_buckets
+from lumiframe.llm.ngram_join import _apart, _profile, _verify
 from lumiframe.llm.storage import Scratch
 
 SHINGLE, BINS, BANDS, ROWS = 8, 64, 12, 5
@@ -109,15 +109,22 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, words in W.slices(batch.column(0)):
-            lines = Lines(words)
-            real = np.flatnonzero(lines.real)
-            _, once = np.unique(lines.hash[real], return_index=True)
-            real = real[np.sort(once)]
-            values = [lines.data[a:b].tobytes() for a, b in zip(lines.start[real], lines.end[real], strict=True)]
-            yield pa.RecordBatch.from_pydict({"node": pa.array(lines.hash[real].view(np.int64)), "text": pa.array(values, pa.binary()).cast(pa.string())})
+def _texts(wanted):
+    """(hash, text) of the lines whose slot is in the bitmap `wanted`, once in a slice of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, words in W.slices(batch.column(0)):
+                lines = Lines(words)
+                real = np.flatnonzero(lines.real)
+                node = lines.hash[real].view(np.int64)
+                _, once = np.unique(node, return_index=True)
+                once = once[in_bitmap(wanted.value, node[once] & (BITS - 1))]
+                real, node = real[once], node[once]
+                values = [lines.data[a:b].tobytes() for a, b in zip(lines.start[real], lines.end[real], strict=True)]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node), "text": pa.array(values, pa.binary()).cast(pa.string())})
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +154,11 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = scratch or Scratch(spark, "line-dedup")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     lines = scratch.save(base.mapInArrow(_signed, "doc bigint, line bigint, node bigint, bands array<bigint>"), "lines")
-    members = scratch.save(shared_buckets(lines.select("node", F.explode("bands").alias("key"))).select("key", "node").distinct(), "members")
+    members = distinct_buckets(shared_buckets(lines.select("node", F.explode("bands").alias("key"))).select("key", "node").distinct(), scratch)
 
-    involved = members.select("node").distinct()
-    texts = base.select("text").mapInArrow(_texts, "node bigint, text string").join(involved, "node", "left_semi").dropDuplicates(["node"])
+    # the bitmap spares the shuffle of lines that share no band
+    wanted = spark.sparkContext.broadcast(bitmap(members, F.pmod("node", F.lit(BITS)).cast("bigint")))
+    texts = base.select("text").mapInArrow(_texts(wanted), "node bigint, text string").dropDuplicates(["node"])
     own = scratch.save(texts.mapInArrow(_sets, "node bigint, n bigint, profile binary, keys array<bigint>"), "own")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -160,7 +168,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.select("a", "b", "ka", "kb").mapInArrow(_verify(num, den), "a bigint, b bigint")
 
     none = spark.createDataFrame([], "a bigint, b bigint")
-    components = link_components(members, own.select("node", "n", "profile"), _may_link(num, den), verify, scratch, none)
+    components = link_components(members, own.select("node", "n", "profile"), _apart(num, den), verify, scratch, none)
     scratch.drop(members, own)
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "line").alias("place")
     first = lines.select("node", place).groupBy("node").agg(F.min("place").alias("place"))

@@ -2,9 +2,10 @@
 
 Two linked nodes share a bucket. In a bucket every node is first compared with one pivot only, so a bucket of copies
 costs as many comparisons as it has nodes. What the stars have joined into one component needs no further comparison.
-While that joins much, the buckets that still hold several components get new pivots. Then, within those buckets, the
-profiles of nodes in different components are compared: a profile bounds from above how similar two nodes can be, so
-only pairs that may be linked become rows, and these are verified. No link between different components is lost."""
+In buckets that still hold several components the profiles of nodes are compared: a profile bounds from above how
+similar two nodes can be. First each node is verified with the nearest node of another component only, which joins most of a
+group of near copies; then all pairs across components that may be linked become rows and are verified. No link
+between different components is lost."""
 
 from __future__ import annotations
 
@@ -13,12 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm.components import connected_components
 from lumiframe.llm.storage import Scratch
 
+#: A distance at which no link is possible.
+NEVER = np.int32(2**31 - 1)
 #: Nodes of one part of a bucket; larger buckets are compared part by part.
 PART = 1024
 
@@ -30,8 +33,57 @@ def shared_buckets(keyed: DataFrame) -> DataFrame:
     return keyed.join(bounds, "key")
 
 
-def _open_pairs(left: DataFrame, profiles: DataFrame, may_link: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """The pairs of a bucket's nodes in different components whose profiles allow a link."""
+def distinct_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """members (key, node: distinct) without the buckets that hold the same nodes as another: of those the least key
+    stays. Near copies share most of their keys, so this leaves a few buckets of each group. Equal buckets are told by
+    their size and two 64-bit sums of hashes of their nodes."""
+    members = scratch.save(members, "all-members")
+    sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+    keys = members.groupBy("key").agg(F.count("*").alias("n"), *sums).groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    out = scratch.save(members.join(keys, "key"), "members")
+    scratch.drop(members)
+    return out
+
+
+#: Bits of a bitmap of ids, at most: 4 MB on the executors, twice that on its way to the driver.
+BITS = 1 << 25
+
+
+def slot(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(BITS)).cast("bigint")
+
+
+def bitmap(ids: DataFrame, at: Column) -> np.ndarray:
+    """A fixed-size bitmap of the slots (column `at`, from 0 to BITS - 1) of ids: a row whose slot isn't set has none of
+    them. It only spares work (rows that it lets pass in vain are harmless), so its size needn't grow with the data."""
+    words = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def exclude(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is among ids (left anti join; a null id stays). The rows that the bitmap rules out
+    pass without a shuffle; only the others, mostly the rows to drop, meet ids in a join. The bitmap joins as at most
+    BITS / 64 rows."""
+    at = slot(id_col)
+    words = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("_w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+    words = words.groupBy("_w").agg(F.bit_or("b").alias("_b"))
+    marked = docs.withColumn("_at", at).join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_w"), "left")
+    maybe = F.coalesce(F.expr("(shiftrightunsigned(_b, cast(_at % 64 as int)) & 1L) = 1"), F.lit(False))
+    clear = marked.filter(~maybe).select(*docs.columns)
+    doubt = marked.filter(maybe).select(*docs.columns).join(ids.select(F.col(id_col)).distinct(), id_col, "left_anti")
+    return clear.unionByName(doubt.select(*docs.columns))
+
+
+def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _open_pairs(left: DataFrame, profiles: DataFrame, apart: Callable, nearest: bool) -> DataFrame:
+    """The pairs of a bucket's nodes in different components whose profiles allow a link; with `nearest` only each
+    node's pair of the least distance, so at most one a node."""
     sizes = left.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     own = left.join(sizes, "key").join(profiles, "node")
     own = own.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -55,6 +107,7 @@ def _open_pairs(left: DataFrame, profiles: DataFrame, may_link: Callable[[np.nda
             ends = np.append(starts[starts < done], done)
             stop = np.repeat(ends[1:], np.diff(ends))
             prof = np.frombuffer(b"".join(now.column("profile").slice(0, done).to_pylist()), dtype=np.uint8).reshape(done, -1)
+            near, partner = np.full(done, NEVER), np.zeros(done, dtype=np.int64)
             for step in range(1, int(np.diff(ends).max())):
                 x = np.flatnonzero(np.arange(step, done + step) < stop)
                 y = x + step
@@ -62,55 +115,59 @@ def _open_pairs(left: DataFrame, profiles: DataFrame, may_link: Callable[[np.nda
                 x, y = x[ok], y[ok]
                 for at in range(0, len(x), 1 << 14):
                     a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                    ok = may_link(n[a], prof[a], n[b], prof[b])
-                    a, b = node[a[ok]], node[b[ok]]
-                    if len(a):
+                    d = apart(n[a], prof[a], n[b], prof[b])
+                    if nearest:  # a row is at most once in a and at most once in b
+                        for own_, other in ((a, b), (b, a)):
+                            less = d < near[own_]
+                            near[own_[less]], partner[own_[less]] = d[less], other[less]
+                    elif (d < NEVER).any():
+                        a, b = node[a[d < NEVER]], node[b[d < NEVER]]
                         yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if nearest:
+                x = np.flatnonzero(near < NEVER)
+                a, b = node[x], node[partner[x]]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint")
 
 
-def link_components(
-    members: DataFrame, profiles: DataFrame, may_link: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame, rounds: int = 4
-) -> DataFrame:
+def link_components(members: DataFrame, profiles: DataFrame, apart: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame) -> DataFrame:
     """(node, component) of the linked nodes. members: (key, node), distinct and saved; profiles: (node, n, profile);
-    may_link(n, profiles, n of the others, their profiles) must hold for every linked pair; verify takes pairs (a, b) and returns those
-    that are linked; known: links (a, b) that need no check."""
-    components: DataFrame | None = None
-    left, tested, before = members, None, None
-    for turn in range(rounds + 1):
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"))
-        pivot = left.groupBy("key").agg(F.min(order)["pivot"].alias("pivot"))
-        stars = left.join(pivot, "key").filter("node <> pivot")
-        if components is not None:
-            stars = stars.select("node", "pivot").distinct()
-        pairs = scratch.save(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
-        components, merged = _merge(components, verify(pairs), known if turn == 0 else None, scratch)
+    apart(n, profiles, n of the others, their profiles) is a lower bound of how far pairs of nodes lie apart, NEVER where it
+    rules out a link; verify takes pairs (a, b) and returns those that are linked; known: links (a, b) that need no
+    check."""
+    order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
+    pivot = members.groupBy("key").agg(F.min(order)["pivot"].alias("pivot"))
+    stars = members.join(pivot, "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    tested = scratch.save(stars.distinct(), "pairs")
+    components = _merge(None, verify(tested), known, scratch)
+    left = members
+    for nearest in (True, True, False):
         left, size, cross = _still_open(left, components, scratch)
         if not size:
-            return components
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if cross <= 4 * size or before is not None and cross > before / 2:
             break
-        before = cross
-    pairs = _open_pairs(left, profiles, may_link).distinct().join(tested, ["a", "b"], "left_anti")
-    return _merge(components, verify(scratch.save(pairs, "pairs")), None, scratch)[0]
+        if nearest and cross <= 2 * size:
+            continue
+        pairs = scratch.save(_open_pairs(left, profiles, apart, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        components = _merge(components, verify(pairs), None, scratch)
+        tested = tested.unionByName(pairs)
+    return components
 
 
-def _merge(components: DataFrame | None, found: DataFrame, known: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, bool]:
+def _merge(components: DataFrame | None, found: DataFrame, known: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Components after new links. Links are drawn between the components there are, so that later rounds work on the
     few that change."""
     found = scratch.save(found, "links")
     if components is None:
-        return scratch.save(connected_components(found if known is None else found.unionByName(known), scratch), "components"), True
+        return scratch.save(connected_components(found if known is None else found.unionByName(known), scratch), "components")
     if found.isEmpty():
-        return components, False
+        return components
     side = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     drawn = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     up = scratch.save(connected_components(drawn, scratch), "merged")
     moved = components.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     fresh = up.join(components.select("node"), "node", "left_anti")
-    return scratch.save(moved.unionByName(fresh.select("node", "component")), "components"), True
+    return scratch.save(moved.unionByName(fresh.select("node", "component")), "components")
 
 
 def _still_open(left: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, float]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm import words as W
-from lumiframe.llm.linking import link_components, shared_buckets
+from lumiframe.llm.linking import NEVER, bitmap, distinct_buckets, in_bitmap, link_components, shared_buckets, slot
 from lumiframe.llm.storage import Scratch
 
 BAND_RATIO = 1.5
@@ -114,10 +114,15 @@ def signatures(own: np.ndarray, lows: list[int], num: int, den: int) -> np.ndarr
     return np.unique(np.concatenate(out))
 
 
-def _index(shingle: int, num: int, den: int, keyed: bool):
+def _index(shingle: int, num: int, den: int, wanted=None):
+    """Rows of _SCHEMA for rows (node, text): with the index keys of the sets or, for rows (node, text, slot) whose slot
+    is in the bitmap `wanted`, with the sets themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows = bands(num, den)
+        lows, keyed = bands(num, den), wanted is None
         for batch in batches:
+            if not keyed:
+                batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy())))
             for at, words in W.slices(batch.column(1)):
                 sizes, f1, f2, profiles, keys, cuts = [], [], [], [], [], [0]
                 for own in W.shingle_sets(words, shingle):
@@ -155,14 +160,16 @@ def _profile(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((W.mix(own ^ _RESCUE) >> np.uint64(57)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
 
 
-def _may_link(num: int, den: int):
+def _apart(num: int, den: int):
+    """At least how many elements lie in one of two sets only, NEVER beyond what the similarity allows."""
+
     def test(n: np.ndarray, profiles: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
-        ok = np.minimum(n, m) * den >= np.maximum(n, m) * num
-        at = np.flatnonzero(ok)
+        out = np.full(len(n), NEVER)
+        at = np.flatnonzero(np.minimum(n, m) * den >= np.maximum(n, m) * num)
         allowed = n[at] + m[at] - 2 * -(-num * (n[at] + m[at]) // (num + den))
-        apart = np.maximum(profiles[at], others[at]) - np.minimum(profiles[at], others[at])
-        ok[at] = apart.sum(axis=1, dtype=np.int32) <= allowed
-        return ok
+        far = (np.maximum(profiles[at], others[at]) - np.minimum(profiles[at], others[at])).sum(axis=1, dtype=np.int32)
+        out[at] = np.where(far <= allowed, far, NEVER)
+        return out
 
     return test
 
@@ -198,7 +205,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
-    sets = scratch.save(texts.mapInArrow(_index(shingle, num, den, True), _SCHEMA), "sets")
+    sets = scratch.save(texts.mapInArrow(_index(shingle, num, den), _SCHEMA), "sets")
     full = sets.filter("n > 0 and node is not null")
 
     narrow = full.select("node", "n", "f1", "f2")
@@ -206,11 +213,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     same = scratch.save(narrow.join(first, ["n", "f1", "f2"]).filter("node <> rep").select("node", "rep").distinct(), "same")
 
     met = scratch.save(shared_buckets(full.select("node", F.explode("keys").alias("key"))), "met")
-    members = scratch.save(met.join(same, "node", "left").select("key", F.coalesce("rep", "node").alias("node")).distinct(), "members")
+    members = distinct_buckets(met.join(same, "node", "left").select("key", F.coalesce("rep", "node").alias("node")).distinct(), scratch)
     scratch.drop(met)
 
-    involved = members.select("node").distinct()
-    own = texts.join(involved, "node", "left_semi").mapInArrow(_index(shingle, num, den, False), _SCHEMA)
+    wanted = spark.sparkContext.broadcast(bitmap(members, slot("node")))
+    own = texts.filter("node is not null").select("node", "text", slot("node").alias("slot")).mapInArrow(_index(shingle, num, den, wanted), _SCHEMA)
     own = scratch.save(own.select("node", "n", "keys"), "own")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -220,6 +227,6 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         return both.select("a", "b", "ka", "kb").mapInArrow(_verify(num, den), "a bigint, b bigint")
 
     profiles = full.select("node", "n", "profile")
-    components = link_components(members, profiles, _may_link(num, den), verify, scratch, same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    components = link_components(members, profiles, _apart(num, den), verify, scratch, same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
     scratch.drop(members, own)
     return sets.select("node", "n").join(components, "node", "left").select(F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
