@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumiframe.llm.decontamination import decontaminate
 from lumiframe.llm.langid import detect_language
+from lumiframe.llm.linking import exclude
 from lumiframe.llm.mixing import mix_sources
 from lumiframe.llm.ngram_join import ngram_jaccard_components
 from lumiframe.llm.queries import DOMAIN, WEIGHTS, table
@@ -31,11 +32,12 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows without an id stay."""
     scratch = Scratch(spark, "pipeline-join")
     found = scratch.save(ngram_jaccard_components(docs), "found")
-    kept = docs.join(found.filter("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    dropped = scratch.save(found.filter("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    kept = exclude(docs, dropped, "doc_id")
     twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not twice.isEmpty():
         single = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(single)
+        kept = exclude(kept, twice, "doc_id").unionByName(single.select(*kept.columns))
     return kept.select(*docs.columns)
 
 
