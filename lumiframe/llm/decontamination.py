@@ -92,6 +92,9 @@ class Benchmark:
         self.weight = {x: 1 + math.log((1 + len(self.ids)) / n) for x, n in held.items()}
         self.rare = 1 + math.log(1 + len(self.ids))
         self.bags = [Counter(h.tolist()) for h in self.hashes]
+        self.known = [np.unique(h) for h in self.hashes]
+        self.price = [np.array([self.weight[x] for x in u.tolist()]) for u in self.known]
+        self.total = [sum(self.weight[x] * c for x, c in bag.items()) for bag in self.bags]
         groups = defaultdict(list)
         for i, h in enumerate(self.hashes):
             groups[int(math.log(len(h)) / math.log(1.25))].append((i, h))
@@ -131,14 +134,22 @@ class Benchmark:
             count = np.concatenate([[0], np.cumsum(valid, dtype=np.int64)])
             doc = np.repeat(np.arange(len(sizes)), blocks)
             last = ends[doc]
+            at = np.arange(total)
             for band in (b for b in self.bands if b.step == step):
-                start = np.arange(total)
-                stop = np.minimum(start + band.blocks, last)
-                keep = (stop - start >= 0.75 * band.blocks) | (start == first[doc])
-                start, stop = start[keep], stop[keep]
-                half = (count[stop] - count[start]) >> 1
-                bits = (run[stop] - run[start]) > half.astype(np.uint16)[:, None]
-                yield band, np.packbits(bits, axis=1).view(np.uint64).ravel(), doc[keep], (start - first[doc[keep]]) * step
+                size = band.blocks
+                inside = np.flatnonzero(at + size <= last)
+                prints = np.empty(total, dtype=np.uint64)
+                for k in range(0, total - size + 1, 8192):  # few rows at once stay in the processor's cache
+                    m = min(8192, total - size + 1 - k)
+                    half = ((count[k + size : k + size + m] - count[k : k + m]) >> 1).astype(np.uint16)
+                    bits = (run[k + size : k + size + m] - run[k : k + m]) > half[:, None]
+                    prints[k : k + m] = np.packbits(bits, axis=1).view(np.uint64).ravel()
+                cut = np.flatnonzero((at + size > last) & ((last - at >= 0.75 * size) | (at == first[doc])))
+                if len(cut):
+                    half = ((count[last[cut]] - count[cut]) >> 1).astype(np.uint16)
+                    prints[cut] = np.packbits((run[last[cut]] - run[cut]) > half[:, None], axis=1).view(np.uint64).ravel()
+                start = np.concatenate([inside, cut])
+                yield band, prints[start], doc[start], (start - first[doc[start]]) * step
 
     def hits(self, words: W.Words) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the items that the texts hold, best window each."""
@@ -154,8 +165,17 @@ class Benchmark:
                 near[d, i].update(range(low, high + 1))
         out = []
         for (d, i), starts in near.items():
-            own, n = hashes[bounds[d] : bounds[d + 1]].tolist(), len(self.hashes[i])
-            best = max((self.similarity(i, own[s : s + n]), -s) for s in starts)
+            n, low, high = len(self.hashes[i]), min(starts), max(starts)
+            own = hashes[bounds[d] + low : min(bounds[d] + high + n, bounds[d + 1])]
+            # what a window shares with the item weighs at most this; the union weighs at least as much as the item
+            at = np.minimum(np.searchsorted(self.known[i], own), len(self.known[i]) - 1)
+            most = np.concatenate([[0.0], np.cumsum(np.where(self.known[i][at] == own, self.price[i][at], 0.0))])
+            enough = (self.threshold - 1e-9) * self.total[i]
+            likely = [s for s in starts if most[min(s - low + n, len(own))] - most[s - low] >= enough]
+            if not likely:
+                continue
+            texts = own.tolist()
+            best = max((self.similarity(i, texts[s - low : s - low + n]), -s) for s in likely)
             if best[0] >= self.threshold:
                 held = words.first[d + 1] - words.first[d]
                 out.append((d, i, best[0], -best[1], int(min(n + SHINGLE - 1, held + best[1]))))
