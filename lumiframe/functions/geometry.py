@@ -176,3 +176,31 @@ def axis_ends(yaw: Column, pitch: Column, roll: Column, size: float = 100.0) ->
         -s * F.cos(y) * F.sin(r), s * (F.cos(p) * F.cos(r) - F.sin(p) * F.sin(y) * F.sin(r)),
         s * F.sin(y), -s * F.cos(y) * F.sin(p),
     ]
+
+
+def landmark_box(v: Column) -> Column:
+    """Array (x1, y1, x2, y2) around a vector of x, y pairs; null for an empty one."""
+    xs, ys = F.filter(v, lambda _, i: i % 2 == 0), F.filter(v, lambda _, i: i % 2 == 1)
+    return F.when(F.size(v) >= 2, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+
+
+def softmax(values: Column, temperature: float = 1.0) -> Column:
+    """exp(v / temperature) over their sum."""
+    start = F.struct(F.array_max(values).alias("top"), lit(0).alias("s"))
+    total = F.aggregate(values, start, lambda s, v: F.struct(s["top"].alias("top"), (s["s"] + F.exp((v - s["top"]) / temperature)).alias("s")))
+    return F.transform(F.array(total), lambda t: F.transform(values, lambda v: F.exp((v - t["top"]) / temperature) / t["s"]))[0]
+
+
+def squared_error(a: Column, b: Column) -> Column:
+    """The sum of squared differences of two vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), lit(0), lambda s, x: s + x)
+
+
+def flip_pose(yaw: Column, pitch: Column, roll: Column, key: Column, seed: int = 0) -> list[Column]:
+    """Yaw and roll negated for half of the keys, chosen by a seeded hash."""
+    flip = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2)) == 0
+    return [F.when(flip, -yaw).otherwise(yaw), pitch, F.when(flip, -roll).otherwise(roll)]
+
+
+def overlay_label(confidence: Column, score: Column) -> Column:
+    return F.format_string("conf %.3f score %.1f", confidence, score)

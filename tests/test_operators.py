@@ -212,3 +212,24 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.sql("select * from windows").collect())
     want = sorted(tuple(r) for r in motion.window_averages(spark.createDataFrame(rows, schema), window=12).collect())
     assert got == want
+
+
+def test_small_functions(spark):
+    assert one(spark, G.landmark_box(lits(1, 2, 5, 0, 3, 9))) == [1, 0, 5, 9]
+    assert one(spark, G.softmax(lits(0, 0), 2.0)) == [0.5, 0.5]
+    assert one(spark, G.squared_error(lits(1, 2), lits(3, 2))) == 4
+    assert one(spark, G.overlay_label(F.lit(0.5), F.lit(1.5))) == "conf 0.500 score 1.5"
+    row = spark.createDataFrame([Row(c=[float(x) for x in (5, 0, 1, 0)])]).select(*[x.alias(f"c{i}") for i, x in enumerate(G.expand_box(F.col("c"), F.lit(640.0), F.lit(640.0)))]).first()
+    assert tuple(row) == (0, 0, 51, 30)
+
+
+def test_hooks(spark):
+    from lumiframe.operators import hooks
+
+    rows = spark.createDataFrame([Row(video_id=1, frame_idx=0, pixels=bytearray(b"ab"), width=1, height=2)])
+    faces = hooks.detect_faces(rows, lambda: lambda p, w, h: [{"confidence": 0.9, "bbox": [1.0, 2.0, 3.0, 4.0], "landmarks": [0.0] * 10}, {"confidence": 0.1, "bbox": [1.0]}])
+    assert [(r["face_id"], r["confidence"]) for r in faces.collect()] == [(1, 0.9)]
+    out = hooks.encode(rows.unionByName(rows.withColumn("width", F.lit(0).cast("bigint"))), lambda: lambda p, w, h: bytes(p) * (1 // w))
+    assert sorted((r["data"] is None, bytes(r["data"] or b"")) for r in out.collect()) == [(False, b"ab"), (True, b"")]
+    results = spark.createDataFrame([("a", True, "o", None), ("b", False, None, "bad")], "path string, success boolean, output_path string, error string")
+    assert {r["path"]: (r["body"], r["code"]) for r in hooks.responses(results).collect()} == {"a": ('{"success":true,"output_path":"o"}', 200), "b": ('{"success":false,"error":"bad"}', 500)}
