@@ -64,8 +64,13 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("source_id").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest")
 
 
-#: Domains of the sources and the weights of the tree's nodes among their siblings; a node that isn't named weighs 1.
-DOMAIN = F.when(F.col("source").rlike("^src[0-4]$"), "web").when(F.col("source").rlike("^src[5-9]$"), "forum").when(F.col("source").isNotNull(), "reference")
+def domain() -> Column:
+    """The domain of a source."""
+    source = F.col("source")
+    return F.when(source.rlike("^src[0-4]$"), "web").when(source.rlike("^src[5-9]$"), "forum").when(source.isNotNull(), "reference")
+
+
+#: Weights of the tree's nodes among their siblings; a node that isn't named weighs 1.
 WEIGHTS = [{"web": 2.0, "forum": 1.0, "reference": 3.0}, {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, {"src0": 2.0, "src9": 3.0}]
 
 
@@ -73,7 +78,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.mixing import mix_sources
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = mix_sources(docs, DOMAIN, WEIGHTS, fraction=0.8, max_epochs=3, seed=42)
+    out = mix_sources(docs, domain(), WEIGHTS, fraction=0.8, max_epochs=3, seed=42)
     return out.select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
