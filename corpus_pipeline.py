@@ -13,7 +13,7 @@ from lumiframe.llm.langid import detect_language
 from lumiframe.llm.linking import exclude
 from lumiframe.llm.mixing import mix_sources
 from lumiframe.llm.ngram_join import ngram_jaccard_components
-from lumiframe.llm.queries import DOMAIN, WEIGHTS, table
+from lumiframe.llm.queries import WEIGHTS, domain, table
 from lumiframe.llm.sharding import shard_documents
 from lumiframe.llm.storage import Scratch
 
@@ -48,7 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps nine tenths of the tokens, dealt by the weights of the tree; no document is taken twice."""
-    return mix_sources(docs, DOMAIN, WEIGHTS, fraction=0.9, max_epochs=1, seed=42).select(*docs.columns)
+    return mix_sources(docs, domain(), WEIGHTS, fraction=0.9, max_epochs=1, seed=42).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
