@@ -95,14 +95,15 @@ def _valid(vector: Column, dim: int | None) -> Column:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, search_share: float = 1.0, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 7, scratch: Scratch | None = None
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, search_share: float = 1.0, search_least: int = 8192, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 7, scratch: Scratch | None = None
 ) -> DataFrame:
     """(query_id, rank from 1, id_col, score): the k nearest rows found of each row where is_query holds, without itself.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. Rows whose vector is
     null, empty, zero, holds a null or non-finite component, or has another length than most rows take no part, nor do
     null ids. A repeated id is one row. With fewer than k candidates all are returned; without any, none. search_share is
-    the number of leaf entries a query opens in all trees over the number of entries: trees overlap, so it may exceed 1.
+    the number of leaf entries a query opens in all trees over the number of entries (trees overlap, so it may exceed 1);
+    it opens search_least of them in any case.
     On vectors without any structure near all of them must be looked at for a high recall; see the README."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "neighbours")
@@ -140,7 +141,7 @@ def nearest_neighbours(
     for r in in_leaf.groupBy("tree", "leaf").count().collect():  # trees * leaves rows, bounded by the sample
         sizes[r["tree"]][r["leaf"]] = r["count"]
     counts = spark.sparkContext.broadcast(sizes)
-    budget = search_share * total
+    budget = max(search_share * total, search_least)
 
     def open_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = pickle.loads(sent.value), counts.value

@@ -142,7 +142,7 @@ def test_neighbours(spark):
         want = sorted(range(600), key=lambda i: (d[i], i))[:10]
         assert [v for _, v, _ in sorted(found)] == want
         assert [s for _, _, s in sorted(found)] == pytest.approx(list(d[want]))
-    less = nearest_neighbours(df, F.col("vec_id") % 50 == 0, k=10, leaf=32, search_share=1.0).collect()
+    less = nearest_neighbours(df, F.col("vec_id") % 50 == 0, k=10, leaf=32, search_share=1.0, search_least=1).collect()
     assert sum((r["query_id"], r["vec_id"]) in {(q, v) for q, f in got.items() for _, v, _ in f} for r in less) >= 0.7 * len(less)
     assert nearest_neighbours(df.limit(0), F.lit(True)).collect() == []
     assert nearest_neighbours(df.filter("vec_id = 3"), F.lit(True)).collect() == []
