@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm import words as W
+from lumiframe.llm.storage import small_batches
 
 SHINGLE, RADIUS = 5, 15
 #: Items that are sent to the executors at once; a larger benchmark is searched in several passes.
@@ -199,6 +200,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     held only by a text that is this sequence. Repeated rows of either table give repeated hits. Other columns are
     ignored. docs aren't shuffled; of the benchmark at most ITEMS_AT_ONCE items are on the executors at once."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     kind = benchmark.schema[item_col].dataType.simpleString()
     own = docs.schema[id_col].dataType.simpleString()
@@ -222,6 +224,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs without the rows that hold an item (see benchmark_hits), unchanged and unshuffled."""
     spark = docs.sparkSession
+    small_batches(spark)
     out, names, at_col = docs, docs.columns, docs.columns.index(text_col)
     for data in _slices_of(benchmark, item_col, item_text_col, threshold):
         sent = spark.sparkContext.broadcast(data)

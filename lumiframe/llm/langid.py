@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumiframe.llm.storage import small_batches
+
 ORDER = 4
 #: Characters of text that are worked on at once.
 SLICE = 1 << 20
@@ -219,6 +221,7 @@ def detect_language(
     (and no further text after per_label_chars characters). Every row is scored on its whole text. A null text or one
     without letters gets `und`, score 0 and rejected true. Without any labelled row every text is `und`."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.drop("lang_pred", "score", "cross_entropy", "rejected")
     sample = sample_texts(base.filter(train) if train is not None else base, F.col(lang_col), text_col, id_col, per_label_docs, per_label_chars)
     model = LanguageModel.fit(sample) if sample else None

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lumiframe.llm import words as W
+from lumiframe.llm.storage import small_batches
 
 BITS = 18
 #: Pull of weights towards zero: only features that many sample documents agree on keep a weight.
@@ -185,6 +186,7 @@ def score_toxicity(
     A null text counts as empty; an empty one has the score of a text without sentences. Without both labels every
     score is 0.5."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts, labels = _sample(labelled, id_col, text_col, F.col(label), per_class, max_sample_chars)
     every, ones = labelled.agg(F.count(F.when(F.col(label).isin(0, 1), 1)), F.count(F.when(F.col(label) == 1, 1))).first()
     model = ToxicityModel.fit(texts, labels, ones / every) if len(set(labels)) == 2 else None

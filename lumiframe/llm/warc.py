@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumiframe.llm.storage import small_batches
+
 RESPONSE = "source_id bigint, record_id string, target_uri string, warc_date string, http_head string, payload string"
 RECORD = "source_id bigint, warc_type string, record_id string, refers_to string, target_uri string, headers array<struct<name:string,value:string>>, content_type string, content_length bigint, block string, block_digest string, payload_digest string"
 
@@ -121,6 +123,7 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
+    small_batches(responses.sparkSession)
     return responses.select("source_id", "record_id", "target_uri", "warc_date", "http_head", "payload").mapInArrow(run, RECORD)
 
 
