@@ -154,7 +154,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = scratch or Scratch(spark, "line-dedup")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     lines = scratch.save(base.mapInArrow(_signed, "doc bigint, line bigint, node bigint, bands array<bigint>"), "lines")
-    members = distinct_buckets(shared_buckets(lines.select("node", F.explode("bands").alias("key"))).select("key", "node").distinct(), scratch)
+    members = distinct_buckets(shared_buckets(lines.select("node", F.explode("bands").alias("key")), scratch).select("key", "node").distinct(), scratch)
+    scratch.release()
 
     # the bitmap spares the shuffle of lines that share no band
     wanted = spark.sparkContext.broadcast(bitmap(members, F.pmod("node", F.lit(BITS)).cast("bigint")))

@@ -26,10 +26,14 @@ NEVER = np.int32(2**31 - 1)
 PART = 1024
 
 
-def shared_buckets(keyed: DataFrame) -> DataFrame:
+def shared_buckets(keyed: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows (key, node) whose key has two or more different nodes. The counting side aggregates map-side and the
-    join is an equi-join that AQE can split, so one key may hold any share of the rows."""
+    join is an equi-join that AQE can split, so one key may hold any share of the rows. With scratch the shared keys are
+    written first, so that the shuffles of counting and joining needn't be on disk at once."""
     bounds = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    if scratch is not None:
+        bounds = scratch.save(bounds, "shared")
+        scratch.release()
     return keyed.join(bounds, "key")
 
 

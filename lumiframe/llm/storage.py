@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +66,12 @@ class Scratch:
             if path:
                 _delete(self.spark, path)
 
+    def release(self) -> None:
+        """Let go of the shuffle files of queries that have ended: Spark deletes them once the driver has collected its
+        garbage, which it does rarely by itself."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             _delete(self.spark, self.base)
