@@ -1,9 +1,11 @@
 """Fuzzy line deduplication: MinHash bands over character shingles, exact verification, distributed union-find.
 
-A line is its set of distinct 8-character shingles after trimming white space and lower-casing A-Z (a shorter line: the
-whole of it). One-permutation MinHash fills 64 bins from one hash a shingle; empty bins borrow from the next full one.
-Twelve bands of five bins find a pair of similarity 0.8 with a probability above 0.99, of 0.9 with one above 0.9999.
-Lines that share a band are joined by the bucket stars of `linking`, each link verified on the whole shingle sets."""
+A line is its set of distinct character shingles after trimming white space and lower-casing A-Z (a shorter line: the
+whole of it). With a character inside changed, lines stay linked from 39 characters on by shingles of 4, from 79 on by
+shingles of 8. One-permutation MinHash fills 96 bins from one hash a shingle; empty bins borrow from random full ones, so
+that the bins of a band depend on different shingles in short lines too. Sixteen bands of six bins find a pair of similarity 0.8 with a probability above 0.99, of 0.9 with one above 0.9999.
+Lines that share a band are joined by the bucket stars of `linking`, each link verified on the whole shingle sets, which
+are made from the texts of the pairs that the profiles don't rule out."""
 
 from __future__ import annotations
 
@@ -15,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm import words as W
-from lumiframe.llm.linking import BITS, bitmap, distinct_buckets, in_bitmap, link_components, shared_buckets
-from lumiframe.llm.ngram_join import _apart, _profile, _verify
+from lumiframe.llm.linking import BITS, NEVER, bitmap, distinct_buckets, in_bitmap, link_components, shared_buckets
+from lumiframe.llm.ngram_join import _apart, _profile
 from lumiframe.llm.storage import Scratch
 
-SHINGLE, BINS, BANDS, ROWS = 8, 64, 12, 5
+SHINGLE, BINS, BANDS, ROWS = 8, 96, 16, 6
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
 _NONE = np.uint64(2**64 - 1)
@@ -59,54 +61,60 @@ class Lines:
     def _span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self._total[b] - self._total[a]) * self._down[a]
 
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+    def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """(hash, line) of every shingle of the real lines, in line order."""
         chars = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
         lines = np.flatnonzero(self.real)
         lo, hi = np.searchsorted(chars, self.start[lines]), np.searchsorted(chars, self.end[lines])
-        n = np.maximum(hi - lo - SHINGLE + 1, 1)
+        n = np.maximum(hi - lo - size + 1, 1)
         owner = np.repeat(lines, n)
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        stop = np.minimum(at + SHINGLE, np.repeat(hi, n))
+        stop = np.minimum(at + size, np.repeat(hi, n))
         return W.mix(self._span(chars[at], chars[stop]) + (stop - at).astype(np.uint64)), owner
 
 
 def band_keys(hashes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
     """(lines, BANDS) keys; owner is the line of each hash."""
     sig = np.full(lines * BINS, _NONE)
-    np.minimum.at(sig, owner * BINS + (hashes >> np.uint64(58)).astype(np.int64), hashes & np.uint64(2**58 - 1))
+    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(sig, owner * BINS + bins, hashes & np.uint64(2**58 - 1))
     sig = sig.reshape(lines, BINS)
     gaps = np.flatnonzero((sig == _NONE).any(axis=1))
-    if len(gaps):
-        raw, out = sig[gaps], sig[gaps]
-        for step in range(1, BINS):
-            empty = out == _NONE
-            if not empty.any():
-                break
-            other = np.roll(raw, -step, axis=1)
-            take = empty & (other != _NONE)
-            out[take] = other[take] + np.uint64(step) * np.uint64(1 << 58)
+    raw = sig[gaps]
+    full = (raw != _NONE).any(axis=1)
+    gaps, raw = gaps[full], raw[full]
+    rng = np.random.default_rng(7)
+    while len(gaps):
+        other = raw[:, rng.integers(0, BINS, BINS)]
+        out = sig[gaps]
+        take = (out == _NONE) & (other != _NONE)
+        out[take] = other[take]
         sig[gaps] = out
+        left = (out == _NONE).any(axis=1)
+        gaps, raw = gaps[left], raw[left]
     parts = sig[:, : BANDS * ROWS].reshape(lines, BANDS, ROWS)
     return W.mix((parts * W.PLACE[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * W.PLACE[7])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, words in W.slices(batch.column(1)):
-            lines = Lines(words)
-            real = np.flatnonzero(lines.real)
-            hashes, owner = lines.shingles()
-            keys = band_keys(hashes, np.searchsorted(real, owner), len(real))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(at + lines.doc[real])),
-                    pa.array(lines.place[real].astype(np.int64)),
-                    pa.array(lines.hash[real].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
-                ],
-                names=["doc", "line", "node", "bands"],
-            )
+def _signed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, words in W.slices(batch.column(1)):
+                lines = Lines(words)
+                real = np.flatnonzero(lines.real)
+                hashes, owner = lines.shingles(size)
+                keys = band_keys(hashes, np.searchsorted(real, owner), len(real))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(at + lines.doc[real])),
+                        pa.array(lines.place[real].astype(np.int64)),
+                        pa.array(lines.hash[real].view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
+                    ],
+                    names=["doc", "line", "node", "bands"],
+                )
+
+    return run
 
 
 def _texts(wanted):
@@ -127,46 +135,80 @@ def _texts(wanted):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, words in W.slices(batch.column(1)):
-            node = batch.column(0).slice(at, words.docs)
-            # each text is one line: its breaks were cut before
-            lines = Lines(words)
-            hashes, owner = lines.shingles()
-            bounds = np.searchsorted(lines.doc[owner], np.arange(words.docs + 1))
-            sets = [np.unique(hashes[bounds[d] : bounds[d + 1]]) for d in range(words.docs)]
-            cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [node, pa.array(np.diff(cuts).astype(np.int64)), pa.array([_profile(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64)))], names=["node", "n", "profile", "keys"]
-            )
+def _line_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """The shingle set of each text; a text is one line, its breaks were cut before."""
+    sets = []
+    for _, words in W.slices(column):
+        lines = Lines(words)
+        hashes, owner = lines.shingles(size)
+        bounds = np.searchsorted(lines.doc[owner], np.arange(words.docs + 1))
+        sets += [np.unique(hashes[bounds[d] : bounds[d + 1]]) for d in range(words.docs)]
+    return sets
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _line_sets(batch.column(1), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_profile(x) for x in sets], pa.binary()), batch.column(1)], names=["node", "n", "profile", "text"])
+
+    return run
+
+
+def _possible(num: int, den: int):
+    """The pairs that their sizes and profiles don't rule out."""
+    apart = _apart(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(i).to_numpy() for i in (2, 4))
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (3, 5))
+            keep = pa.array(apart(n, p, m, q) < NEVER)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _linked(size: int, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (_line_sets(batch.column(i), size) for i in (2, 3))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
+            keep = pa.array([i * den >= num * (len(x) + len(y) - i) for i, x, y in zip(both, left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return run
 
 
-def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
+def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, scratch: Scratch | None = None, shingle: int = SHINGLE) -> DataFrame:
     """One row per line that isn't blank: (id_col, line from 0, component, keep). keep holds for the first line of each
-    component of linked lines, by id and then place. Equal lines are linked; two others are if their shingle sets have
-    a Jaccard similarity of num/den or more and they meet in a band.
+    component of linked lines, by id and then place. Equal lines are linked; two others are if their sets of
+    `shingle` characters have a Jaccard similarity of num/den or more and they meet in a band.
 
     Null and empty texts have no rows. A null id sorts last. Rows of one id are one document: their lines of one
     place and content are kept or dropped alike. Other columns are ignored. Lines are told apart by 64-bit hashes."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line-dedup")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    lines = scratch.save(base.mapInArrow(_signed, "doc bigint, line bigint, node bigint, bands array<bigint>"), "lines")
+    lines = scratch.save(base.mapInArrow(_signed(shingle), "doc bigint, line bigint, node bigint, bands array<bigint>"), "lines")
     members = distinct_buckets(shared_buckets(lines.select("node", F.explode("bands").alias("key")), scratch).select("key", "node").distinct(), scratch)
     scratch.release()
 
     # the bitmap spares the shuffle of lines that share no band
     wanted = spark.sparkContext.broadcast(bitmap(members, F.pmod("node", F.lit(BITS)).cast("bigint")))
     texts = base.select("text").mapInArrow(_texts(wanted), "node bigint, text string").dropDuplicates(["node"])
-    own = scratch.save(texts.mapInArrow(_sets, "node bigint, n bigint, profile binary, keys array<bigint>"), "own")
+    own = scratch.save(texts.mapInArrow(_sets(shingle), "node bigint, n bigint, profile binary, text string"), "own")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-        right = own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-        both = pairs.join(left, "a").join(right, "b").filter(F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}"))
-        return both.select("a", "b", "ka", "kb").mapInArrow(_verify(num, den), "a bigint, b bigint")
+        left = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+        right = own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "pa", "nb", "pb")
+        maybe = scratch.save(both.mapInArrow(_possible(num, den), "a bigint, b bigint"), "maybe")
+        scratch.release()
+        texts = maybe.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return texts.select("a", "b", "ta", "tb").mapInArrow(_linked(shingle, num, den), "a bigint, b bigint")
 
     none = spark.createDataFrame([], "a bigint, b bigint")
     components = link_components(members, own.select("node", "n", "profile"), _apart(num, den), verify, scratch, none)
@@ -180,10 +222,10 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").alias(id_col), "line", "component", (F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("line") == F.col("best.line"))).alias("keep"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, shingle: int = SHINGLE) -> DataFrame:
     """docs with the dropped lines cut out of their texts; blank lines and null texts stay as they are. The other
     columns are unchanged; rows keep their number."""
-    dropped = line_components(docs, id_col, text_col, num, den).filter("not keep").groupBy(id_col).agg(F.collect_set("line").alias("_dropped"))
+    dropped = line_components(docs, id_col, text_col, num, den, shingle=shingle).filter("not keep").groupBy(id_col).agg(F.collect_set("line").alias("_dropped"))
     joined = docs.alias("d").join(dropped.alias("x"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"x.{id_col}")), "left")
     kept = F.expr(f"array_join(transform(filter(transform(split({text_col}, '\\n', -1), (v, i) -> struct(v, bigint(i) as i)), x -> not array_contains(_dropped, x.i)), x -> x.v), '\\n')")
     text = F.when(F.col("_dropped").isNull(), F.col(f"d.{text_col}")).otherwise(kept)

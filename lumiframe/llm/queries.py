@@ -36,7 +36,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.line_dedup import line_components
 
-    lines = line_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = line_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
     dropped = F.sort_array(F.collect_set(F.when(~F.col("keep"), F.col("line"))))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("keep").alias("n_kept"), dropped.alias("dropped_lines"))
 

@@ -13,6 +13,7 @@ from lumiframe.llm.decontamination import _NEAR, RADIUS, Benchmark, benchmark_hi
 from lumiframe.llm.line_dedup import dedup_lines, line_components
 from lumiframe.llm.neighbours import nearest_neighbours
 from lumiframe.llm.ngram_join import bands, max_difference, ngram_jaccard_components, signatures
+from lumiframe.llm.queries import op4_line_dedup
 from lumiframe.llm.storage import Scratch
 
 
@@ -125,6 +126,20 @@ def test_line_dedup(spark):
     assert line_components(df.limit(0)).collect() == []
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    lines = ["Copyright 2019 The Example Authors, all rights reserved", "Licensed under the MIT license, see LICENSE file", "Share this article with your friends on our forum", "Subscribe to the newsletter for weekly news and offers from all shops"]
+    rng = random.Random(5)
+    rows, planted = [], []
+    for d, line in enumerate(lines):
+        at = rng.randrange(12, len(line) - 12)
+        planted.append(line[:at] + ("#" if line[at] != "#" else "+") + line[at + 1 :])
+        rows += [(d, line), (100 + d, planted[-1]), (200 + d, prose(rng, 6))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_kept"] for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert all(40 <= len(p) < 79 for p in planted)
+    assert got == {d: 0 if 100 <= d < 200 else 1 for d, _ in rows}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 16)).astype(np.float32)
@@ -182,8 +197,7 @@ def test_hamming_search_is_complete():
 
 
 def test_words():
-    import pyarrow as pa
-
+    
     texts = ["a B  c\n", None, "", "ab", "Ab cD", "é\x0bÉ"]
     (_, w), = list(W.slices(pa.array(texts)))
     assert [[w.text(i).decode() for i in range(w.first[d], w.first[d + 1])] for d in range(6)] == [["a", "B", "c"], [], [], ["ab"], ["Ab", "cD"], ["é", "É"]]
