@@ -3,7 +3,9 @@
 Features are 5-word shingles. Items are grouped into bands of like size. Over every document slide windows of the
 band's size; their 64-bit SimHash comes from running bit counts, so each window costs the same whatever its size. Four
 16-bit blocks index the items, each with all its values within distance 3: two fingerprints within RADIUS = 15 agree
-within 3 on some block, so no such pair is missed. The candidates are verified on the shingles themselves: weighted
+within 3 on some block, so no such pair is missed. Near copies whose fingerprints lie farther apart (the windows have the
+band's size and step, not the item's) are found by the shingles they share with the item: a window of enough similarity
+holds that share of the item's weight, so every such window is looked at. The candidates are verified on the shingles themselves: weighted
 Jaccard of the item with the document's best aligned window of the item's size, a shingle weighing more the fewer
 items hold it."""
 
@@ -96,6 +98,13 @@ class Benchmark:
         self.known = [np.unique(h) for h in self.hashes]
         self.price = [np.array([self.weight[x] for x in u.tolist()]) for u in self.known]
         self.total = [sum(self.weight[x] * c for x, c in bag.items()) for bag in self.bags]
+        # of each known shingle: the items that hold it
+        shingle = np.concatenate([*self.known, np.zeros(0, np.uint64)])
+        order = np.argsort(shingle, kind="stable")
+        self.all, first = np.unique(shingle[order], return_index=True)
+        self.first = np.append(first, len(shingle))
+        self.holder = np.repeat(np.arange(len(self.known)), [len(u) for u in self.known])[order]
+        self.cost = np.concatenate([*self.price, np.zeros(0)])[order]
         groups = defaultdict(list)
         for i, h in enumerate(self.hashes):
             groups[int(math.log(len(h)) / math.log(1.25))].append((i, h))
@@ -152,6 +161,20 @@ class Benchmark:
                 start = np.concatenate([inside, cut])
                 yield band, prints[start], doc[start], (start - first[doc[start]]) * step
 
+    def _shared(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) where the text's shingles hold enough of the item's weight for some window to be similar."""
+        if not len(self.all):
+            return
+        at = np.minimum(np.searchsorted(self.all, hashes), len(self.all) - 1)
+        row = np.flatnonzero(self.all[at] == hashes)
+        n = self.first[at[row] + 1] - self.first[at[row]]
+        entry = np.repeat(self.first[at[row]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(row) else np.zeros(0, int)
+        doc = np.searchsorted(bounds, np.repeat(row, n), side="right") - 1
+        pair, which = np.unique(doc * len(self.ids) + self.holder[entry], return_inverse=True)
+        held = np.bincount(which, self.cost[entry], minlength=len(pair))
+        for p in pair[held >= (self.threshold - 1e-9) * np.array(self.total)[pair % len(self.ids)]].tolist():
+            yield divmod(p, len(self.ids))
+
     def hits(self, words: W.Words) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the items that the texts hold, best window each."""
         hashes, at = W.shingles(words, SHINGLE)
@@ -164,6 +187,15 @@ class Benchmark:
                 reach = band.step + abs(n - band.blocks * band.step)
                 low, high = max(0, min(s - reach, size - n)), max(0, min(s + reach, size - n))
                 near[d, i].update(range(low, high + 1))
+        for d, i in self._shared(hashes, bounds):
+            n, size = len(self.hashes[i]), int(bounds[d + 1] - bounds[d])
+            own = hashes[bounds[d] : bounds[d + 1]]
+            at = np.minimum(np.searchsorted(self.known[i], own), len(self.known[i]) - 1)
+            most = np.concatenate([[0.0], np.cumsum(np.where(self.known[i][at] == own, self.price[i][at], 0.0))])
+            s = np.arange(max(0, size - n) + 1)
+            found = s[most[np.minimum(s + n, size)] - most[s] >= (self.threshold - 1e-9) * self.total[i]]
+            if len(found):
+                near[d, i].update(found.tolist())
         out = []
         for (d, i), starts in near.items():
             n, low, high = len(self.hashes[i]), min(starts), max(starts)
@@ -195,8 +227,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """One row for each document and item that it holds: (id_col, item_col, similarity, first_word, n_words).
 
     A document holds an item if a window of the item's size in it has a weighted shingle similarity of at least
-    `threshold` with the item and lies within RADIUS of it as a fingerprint; the best window is returned, the first of
-    equals. Null and word-less texts hold nothing; items without words are ignored; an item of fewer than five words is
+    `threshold` with the item; the best window is returned, the first of equals. Null and word-less texts hold nothing; items without words are ignored; an item of fewer than five words is
     held only by a text that is this sequence. Repeated rows of either table give repeated hits. Other columns are
     ignored. docs aren't shuffled; of the benchmark at most ITEMS_AT_ONCE items are on the executors at once."""
     spark = docs.sparkSession

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,26 @@ def test_decontamination(spark):
     assert benchmark_hits(df, bench.limit(0)).collect() == [] and benchmark_hits(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_finds_every_near_copy():
+    rng = random.Random(8)
+    sizes = [49, 50, 53, 56, 59, 61]
+    items = [(k, " ".join(f"v{rng.randrange(30000)}" for _ in range(n))) for k, n in enumerate(sizes * 5)]
+    bench = Benchmark(items, 0.8)
+    texts, want = [], []
+    for k in range(1500):
+        i, t = items[k % len(items)]
+        texts.append(" ".join(f"u{rng.randrange(30000)}" for _ in range(rng.randrange(9))) + " " + near(rng, t, 1) + " " + " ".join(f"u{rng.randrange(30000)}" for _ in range(9)))
+        for _, words in W.slices(pa.array(texts[-1:])):
+            hashes, _ = W.shingles(words, 5)
+        n = len(bench.hashes[i])
+        best = max(bench.similarity(i, hashes[s : s + n].tolist()) for s in range(len(hashes) - n + 1))
+        if best >= 0.8:
+            want.append((k, i, pytest.approx(best)))
+    got = [(at + d, i, best) for at, words in W.slices(pa.array(texts)) for d, i, best, _, _ in bench.hits(words)]
+    assert len(want) > 1000 and sum(0.8 <= b < 0.85 for _, _, b in got) > 500
+    assert sorted(got) == want
+
+
 def test_hamming_search_is_complete():
     rng = np.random.default_rng(7)
     bench = Benchmark([(i, " ".join(f"q{i}_{j}" for j in range(40))) for i in range(30)], 0.8)
@@ -197,7 +218,8 @@ def test_hamming_search_is_complete():
 
 
 def test_words():
-    
+    import pyarrow as pa
+
     texts = ["a B  c\n", None, "", "ab", "Ab cD", "é\x0bÉ"]
     (_, w), = list(W.slices(pa.array(texts)))
     assert [[w.text(i).decode() for i in range(w.first[d], w.first[d + 1])] for d in range(6)] == [["a", "B", "c"], [], [], ["ab"], ["Ab", "cD"], ["é", "É"]]
