@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumiframe.config import DEFAULT, EngineConfig
 from lumiframe.functions.scalar import lit
@@ -34,30 +37,106 @@ def prior_boxes(spark: SparkSession, height: int, width: int, clip: bool = False
 def gate_top_k(boxes: DataFrame, group: list[str], score: str = "score", id_col: str = "vec_id", config: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
     """Rows above the detector's score, the best k of each group, with rank from 1; ties by id."""
     w = Window.partitionBy(*group).orderBy(F.desc(score), id_col)
-    return boxes.filter(F.col(score) > config.detector_score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k or config.nms_top_k))
+    return gate(boxes, score, config).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k or config.nms_top_k))
 
 
-def greedy_nms(boxes: DataFrame, group: list[str], id_col: str = "vec_id", config: EngineConfig = DEFAULT) -> DataFrame:
-    """(group, id, kept_rank): by falling score (ties by id), a box is dropped if it overlaps a kept one by more than nms_iou;
-    at most nms_keep stay. The input must be gated and cut to nms_top_k boxes a group (gate_top_k), which bounds a group."""
-    limit, keep = config.nms_iou, config.nms_keep
-    schema = ", ".join([*(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in (*group, id_col)), "kept_rank int"])
-
-    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", id_col], ascending=[False, True])
-        x1, y1, x2, y2 = (pdf[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
-        area, left, kept = (x2 - x1 + 1) * (y2 - y1 + 1), np.arange(len(pdf)), []
-        while len(left):
-            i, rest = left[0], left[1:]
-            kept.append(i)
-            w = np.maximum(0.0, np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest]) + 1)
-            h = np.maximum(0.0, np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]) + 1)
-            left = rest[w * h / (area[i] + area[rest] - w * h) <= limit]
-        out = pdf.iloc[kept[:keep]][[*group, id_col]].copy()
-        out["kept_rank"] = np.arange(1, len(out) + 1, dtype=np.int32)
+def gate(boxes: DataFrame, score: str = "score", config: EngineConfig = DEFAULT) -> DataFrame:
+    """Rows above the detector's score, strictly."""
+    return boxes.filter(F.col(score) > config.detector_score)
+
+
+#: Boxes that are compared with each other at once.
+BLOCK = 512
+
+
+def _overlap(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """(len(a), len(b)): whether two boxes (x1, y1, x2, y2; both ends belong to a box) overlap by more than the limit."""
+    area = lambda x: (x[:, 2] - x[:, 0] + 1) * (x[:, 3] - x[:, 1] + 1)
+    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]) + 1
+    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]) + 1
+    both = np.maximum(0.0, w) * np.maximum(0.0, h)
+    return both / (area(a)[:, None] + area(b)[None, :] - both) > limit
+
+
+class _Keeper:
+    """The boxes kept so far of one group whose boxes come by falling score."""
+
+    def __init__(self, limit: float, most: int):
+        self.limit, self.most, self.kept = limit, most, np.zeros((0, 4))
+
+    def take(self, boxes: np.ndarray) -> list[int]:
+        """The places in boxes that are kept."""
+        out: list[int] = []
+        for at in range(0, len(boxes), BLOCK):
+            if len(self.kept) >= self.most:
+                break
+            block = boxes[at : at + BLOCK]
+            open_ = np.flatnonzero(~_overlap(block, self.kept, self.limit).any(axis=1))
+            among = _overlap(block[open_], block[open_], self.limit)
+            dead, chosen = np.zeros(len(open_), dtype=bool), []
+            for i in range(len(open_)):
+                if not dead[i] and len(self.kept) + len(chosen) < self.most:
+                    chosen.append(open_[i])
+                    dead |= among[i]
+            self.kept = np.concatenate([self.kept, block[chosen]])
+            out += [at + int(i) for i in chosen]
         return out
 
-    return boxes.select(*group, id_col, "x1", "y1", "x2", "y2", "score").groupBy(*group).applyInPandas(suppress, schema)
+
+def _suppress(boxes: DataFrame, group: list[str], id_col: str, config: EngineConfig) -> DataFrame:
+    """Kept rows of boxes with kept_rank. A task reads its groups in order and holds at most nms_keep boxes and a batch,
+    however large a group is."""
+    n, limit, most = len(group), config.nms_iou, config.nms_keep
+    schema = T.StructType([*boxes.schema.fields, T.StructField("kept_rank", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, keeper = None, _Keeper(limit, most)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True))
+            corners = np.stack([batch.column(n + 1 + i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            places, ranks = [], []
+            for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[lo] != key:
+                    key, keeper = keys[lo], _Keeper(limit, most)
+                before = len(keeper.kept)
+                found = keeper.take(corners[lo:hi])
+                places += [lo + i for i in found]
+                ranks += range(before + 1, before + len(found) + 1)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(places, pa.int64())).columns, pa.array(ranks, pa.int32())], names=[*batch.schema.names, "kept_rank"])
+
+    return boxes.repartition(*group).sortWithinPartitions(*group, F.desc("score"), id_col).mapInArrow(run, schema)
+
+
+def greedy_nms(boxes: DataFrame, group: list[str], id_col: str = "vec_id", config: EngineConfig = DEFAULT) -> DataFrame:
+    """(group, id, kept_rank): by falling score (ties by id), a box is dropped if it overlaps a kept one by more than nms_iou;
+    at most nms_keep stay. Groups may be of any size; a box without a score or a corner takes no part.
+
+    The best nms_top_k boxes of each group are folded first. Of a larger group, the rest is ruled out against what was kept
+    by an equi-join, which splits a hot group, and only boxes that overlap none of it meet the kept ones in the last fold."""
+    rows = boxes.select(*group, F.col(id_col), "x1", "y1", "x2", "y2", "score").dropna(subset=["x1", "y1", "x2", "y2", "score"])
+    best = [F.desc("score"), F.col(id_col)]
+    part = F.pmod(F.xxhash64(id_col), F.lit(32))
+    head = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group, part).orderBy(*best))).filter(F.col("_n") <= config.nms_top_k)
+    head = head.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*best))).filter(F.col("_n") <= config.nms_top_k)
+    kept = _suppress(head.drop("_n"), group, id_col, config).drop("kept_rank")
+    more = head.filter(F.col("_n") == config.nms_top_k).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("score").alias("_s"), F.col(id_col).alias("_i"))
+    same = functools.reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+    corners = F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_kept")
+    more = kept.join(more, same).groupBy("_s", "_i", *[f"_g{i}" for i in range(len(group))]).agg(corners).filter(F.size("_kept") < config.nms_keep)
+
+    def near(k: Column) -> Column:
+        area = lambda x1, y1, x2, y2: (x2 - x1 + 1) * (y2 - y1 + 1)
+        c = [F.col(x) for x in ("x1", "y1", "x2", "y2")]
+        w = F.greatest(lit(0), F.least(c[2], k["x2"]) - F.greatest(c[0], k["x1"]) + 1)
+        h = F.greatest(lit(0), F.least(c[3], k["y2"]) - F.greatest(c[1], k["y1"]) + 1)
+        return w * h / (area(*c) + area(k["x1"], k["y1"], k["x2"], k["y2"]) - w * h) > config.nms_iou
+
+    later = (F.col("score") < F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col(id_col) > F.col("_i")))
+    rest = rows.join(more, same & later).filter(~F.exists("_kept", near)).select(*rows.columns)
+    return _suppress(kept.unionByName(rest), group, id_col, config).select(*group, id_col, "kept_rank")
 
 
 def well_formed(raw: DataFrame, dets: str = "dets", landmarks: str = "landmarks") -> DataFrame:

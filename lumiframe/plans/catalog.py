@@ -173,7 +173,7 @@ l AS (SELECT label, arg_max(kept, rk) AS kept FROM k GROUP BY 1), u AS (SELECT l
 SELECT u.label, g.vec_id, CAST(u.kept_rank AS INTEGER) AS kept_rank FROM u JOIN g ON g.label = u.label AND g.rk = u.rk WHERE u.kept_rank <= 750"""
 )
 def greedy_nms(spark, d):
-    return detect.greedy_nms(detect.gate_top_k(X.nms_boxes(spark, d), ["label"]), ["label"])
+    return detect.greedy_nms(detect.gate(X.nms_boxes(spark, d)), ["label"])
 
 
 # ---- scores

@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -130,6 +131,30 @@ def test_nms(spark):
     assert sorted(r["vec_id"] for r in kept.collect()) == [1, 2]
 
 
+def test_nms_of_large_groups(spark):
+    rng = random.Random(3)
+    rows = []
+    for g, n in ((1, 900), (2, 40), (None, 300)):
+        for i in range(n):
+            x, y, w, h = rng.uniform(0, 400 if i % 3 else 5), rng.uniform(0, 400), rng.uniform(20, 90), rng.uniform(20, 90)
+            rows.append((g, i, x, y, x + w, y + h, round(rng.uniform(0.8, 1), 2)))
+    df = spark.createDataFrame([*rows, (1, 5000, None, 0.0, 1.0, 1.0, 0.99)], "g int, vec_id bigint, x1 double, y1 double, x2 double, y2 double, score double")
+    for keep in (750, 9):
+        want = set()
+        for g in (1, 2, None):
+            kept = []
+            for r in sorted((r for r in rows if r[0] == g and r[6] > 0.9), key=lambda r: (-r[6], r[1])):
+                area = lambda b: (b[4] - b[2] + 1) * (b[5] - b[3] + 1)
+                both = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2]) + 1) * max(0, min(a[5], b[5]) - max(a[3], b[3]) + 1)
+                if len(kept) < keep and all(both(r, k) / (area(r) + area(k) - both(r, k)) <= 0.4 for k in kept):
+                    kept.append(r)
+            want |= {(g, r[1], i + 1) for i, r in enumerate(kept)}
+        config = EngineConfig(nms_top_k=30, nms_keep=keep)
+        got = detect.greedy_nms(detect.gate(df, config=config), ["g"], config=config).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert detect.greedy_nms(df.limit(0), ["g"]).collect() == []
+
+
 def test_well_formed(spark):
     raw = spark.createDataFrame([Row(frame_idx=0, dets=[[1.0, 2.0, 3.0, 4.0, 0.9], [1.0], [5.0, 6.0, 7.0, 8.0, 0.8]], landmarks=[[0.0] * 10, [0.0] * 10])])
     assert [(r["face_id"], r["confidence"]) for r in detect.well_formed(raw).collect()] == [(1, 0.9)]
