@@ -3,7 +3,7 @@
 Rows are ordered by (hash of the text, id, a row number given when the keys are written). The splitters that cut this
 order into shards of equal bytes are found by probing: each round counts, over all rows and exactly, the bytes and
 rows between the probe keys of every interval that still holds an undecided splitter, and narrows the interval to one
-gap between probes, until a boundary lies within the tolerance or between two neighbouring rows. Then the rows are
+gap between probes (a range of the key's upper bits), until a boundary lies within the tolerance or between two neighbouring rows. Then the rows are
 exchanged once. Equal texts are neighbours in this order: a group of them stays in one shard, unless it lies across a
 splitter that only a cut inside the group brings within the tolerance, so a group of any size is spread as it must be.
 """
@@ -19,7 +19,7 @@ from lumiframe.llm.storage import Scratch
 
 #: Probes of an interval in one round.
 PROBES = 1024
-_KEY = ("_h", "_d", "_r")
+_KEY = ("__hash", "__id", "__row")
 _MAX = 2**63 - 1
 
 
@@ -31,10 +31,10 @@ def _inside(at: dict) -> Column:
 
 
 def _bin(at: dict) -> Column:
-    """The gap between probes in which a row lies; it never falls as the key rises, so gaps are ranges of keys."""
-    part = F.col(_KEY[len(at["fixed"])]).cast("double")
-    width = max((float(at["hi"]) - float(at["lo"])) / PROBES, 1.0)
-    return F.floor((part - F.lit(float(at["lo"]))) / F.lit(width)).cast("bigint")
+    """The gap between probes in which a row lies: the key's upper bits. It never falls as the key rises, so gaps are ranges
+    of keys; all in whole numbers, so a round leaves a range of at least PROBES / 2 times fewer keys."""
+    shift = next(s for s in range(65) if (at["hi"] >> s) - (at["lo"] >> s) < PROBES)
+    return F.shiftright(F.col(_KEY[len(at["fixed"])]), shift) if shift else F.col(_KEY[len(at["fixed"])])
 
 
 def _counts(keys: DataFrame, intervals: list[dict]) -> dict[int, list]:
@@ -51,7 +51,7 @@ def _counts(keys: DataFrame, intervals: list[dict]) -> dict[int, list]:
 def find_splitters(keys: DataFrame, shards: int, tolerance: float) -> tuple[list[dict], list[dict]]:
     """(splitters, coarse cuts). A splitter is the last key of the rows below it, with their exact number; coarse cuts
     are the gaps of the first round, used to number rows in parallel within a shard."""
-    low, high, total = keys.agg(F.min("_h"), F.max("_h"), F.sum("size")).first()
+    low, high, total = keys.agg(F.min(_KEY[0]), F.max(_KEY[0]), F.sum("size")).first()
     if total is None or shards < 2:
         return [], []
     allowed = tolerance * total / shards
@@ -68,7 +68,7 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float) -> tuple[list
             n = 0
             for g in gaps[0]:
                 n += g["n"]
-                coarse.append({"key": (g["hi_h"], _MAX, _MAX), "rows": n})
+                coarse.append({"key": (g[f"hi{_KEY[0]}"], _MAX, _MAX), "rows": n})
         for s, at in list(waiting.items()):
             target = total * s / shards
             size, rows, part = at["bytes"], at["rows"], len(at["fixed"])
@@ -114,8 +114,8 @@ def shard_documents(
 ) -> DataFrame:
     """docs' columns `carry` (default: all) and size, text_crc32, law, shard, slot, grown_shard.
 
-    Size: UTF-8 bytes of the text (null: none) plus 16. The law is `bytes`: the shards' total sizes differ from the mean
-    by no more than `tolerance` of it or half of one row. slot counts a shard's rows from 0 in the order of the keys.
+    Size: UTF-8 bytes of the text (null: none) plus 16. The law is `bytes`: each border between shards
+    lies within `tolerance` of a shard's mean size of its place, or within half of one row. slot counts a shard's rows from 0 in the order of the keys.
     grown_shard is null. A null text has a null text_crc32. Rows with null or repeated ids, and wholly equal rows, are
     kept and count singly. An empty table gives no rows. Input columns that clash with the new names are replaced.
 
@@ -124,15 +124,17 @@ def shard_documents(
     scratch = scratch or Scratch(spark, "sharding")
     carry = list(docs.columns) if carry is None else carry
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    text = F.col(text_col)
+    text = F.col(f"`{text_col}`")
+    # the rows' own columns stay in one struct, so no name of theirs meets one of this module
+    kept = [c for c in carry if c not in new]
     keyed = docs.select(
-        *[F.col(c) for c in carry if c not in new],
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text, text.isNull()).alias("_h"),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("_d"),
+        F.xxhash64(text, text.isNull()).alias(_KEY[0]),
+        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(2**63))).alias(_KEY[1]),
     )
-    keyed = scratch.save(keyed.withColumn("_r", F.monotonically_increasing_id()), "keys")
+    keyed = scratch.save(keyed.withColumn(_KEY[2], F.monotonically_increasing_id()), "keys")
     splitters, coarse = find_splitters(keyed, shards, tolerance)
 
     none = (-(2**63), -(2**63), -1)
@@ -150,10 +152,10 @@ def shard_documents(
             shard, start = shard + 1, rows
         shard_of.append(shard)
         offset_of.append(rows - start)
-    order = Window.partitionBy("_s").orderBy(*_KEY)
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_s") + 1)
-    return keyed.withColumn("_s", segment).select(
-        *[F.col(c) for c in carry if c not in new],
+    order = Window.partitionBy("__segment").orderBy(*_KEY)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__segment") + 1)
+    return keyed.withColumn("__segment", segment).select(
+        *[F.col("kept")[c].alias(c) for c in kept],
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),

@@ -49,6 +49,28 @@ def test_sharding(spark):
     assert sorted(r["shard"] for r in shard_documents(df.limit(1), shards=3).collect()) != []
 
 
+def test_sharding_borders(spark):
+    """Ids beyond the precision of doubles, groups that lie over several borders, clashing names; against a sorted list."""
+    rng = random.Random(4)
+    rows = [(2**60 + i, "same text") for i in range(200)] + [(2**62 + 3 * i, "y" * rng.randrange(400)) for i in range(150)] + [(2**63 - 1 - i, "end") for i in range(40)] + [(-(2**63) + i, "end") for i in range(40)] + [(None, "end")] * 30 + [(7, "z" * 9000)]
+    df = spark.createDataFrame([(i, t, 1, "h", i, "s") for i, t in rows], "doc_id bigint, text string, __row int, __hash string, __id bigint, kept string")
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text", F.col("text").isNull()).alias("h")).distinct().collect()}
+    for shards in (1, 2, 13, 40):
+        got = sorted(shard_documents(df, shards=shards).collect(), key=lambda r: (r["shard"], r["slot"]))
+        assert len(got) == len(rows) and [(r["__row"], r["kept"]) for r in got] == [(1, "s")] * len(rows)
+        keys = [(hashed[r["text"]], -(2**63) if r["doc_id"] is None else r["doc_id"]) for r in got]
+        assert keys == sorted(keys)
+        total, sums, borders = sum(r["size"] for r in got), 0, {}
+        for i, r in enumerate(got):
+            for s in range(got[i - 1]["shard"] if i else 0, r["shard"]):
+                borders[s + 1] = sums
+            sums += r["size"]
+        for s, size in borders.items():
+            target, upto = total * s / shards, 0
+            row = next(r["size"] for r in got if (upto := upto + r["size"]) >= target)
+            assert abs(size - target) <= max(0.0025 * total / shards, row / 2) + 1e-6
+
+
 def test_language(spark):
     df = docs_of(spark)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
