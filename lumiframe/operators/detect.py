@@ -117,6 +117,8 @@ def greedy_nms(boxes: DataFrame, group: list[str], id_col: str = "vec_id", confi
     The best nms_top_k boxes of each group are folded first. Of a larger group, the rest is ruled out against what was kept
     by an equi-join, which splits a hot group, and only boxes that overlap none of it meet the kept ones in the last fold."""
     rows = boxes.select(*group, F.col(id_col), "x1", "y1", "x2", "y2", "score").dropna(subset=["x1", "y1", "x2", "y2", "score"])
+    if rows.groupBy(*group).count().filter(F.col("count") > config.nms_top_k).isEmpty():  # one fold does it
+        return _suppress(rows, group, id_col, config).select(*group, id_col, "kept_rank")
     best = [F.desc("score"), F.col(id_col)]
     part = F.pmod(F.xxhash64(id_col), F.lit(32))
     head = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group, part).orderBy(*best))).filter(F.col("_n") <= config.nms_top_k)

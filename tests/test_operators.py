@@ -108,6 +108,28 @@ def test_average_stays_within_values(spark):
     assert got == want and min(values) <= min(got) and max(got) <= max(values)
 
 
+def test_motion_across_batches(spark):
+    rng = random.Random(5)
+    rows = [(v, i, rng.random()) for v in (1, 2, None, 9) for i in range(rng.randrange(30, 60))] + [(1, 500, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "video_id int, frame_idx int, mag double")
+    want, picks = {}, {}
+    for v in (1, 2, None, 9):
+        ema = None
+        for _, i, x in sorted((r for r in rows if r[0] == v and r[2] is not None), key=lambda r: r[1]):
+            ema = x if ema is None else 0.4 * x + (1 - 0.4) * ema
+            want[v, i] = ema
+            picks[v, i // 7] = min(picks.get((v, i // 7), (2, 0)), (ema, i))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (old, "5"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {(r["video_id"], r["frame_idx"]): r["ema"] for r in motion.running_average(df).collect()} == want
+            assert {(r["video_id"], r["win"]): (r["ema"], r["frame_idx"]) for r in motion.window_averages(df, window=7).collect()} == picks
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_early_exit(spark):
     rows = spark.createDataFrame([Row(video_id=1, frame_idx=i, score=s) for i, s in enumerate([0.5, 1.0, 1.5, 2.0])])
     assert scoring.early_exit(rows).count() == 3
