@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumiframe.llm.sampling import below, bounded_sample, fit_on, place, threshold
 from lumiframe.llm.storage import small_batches
 
 ORDER = 4
@@ -198,18 +199,12 @@ class LanguageModel:
         return [self.labels[b] if ok else "und" for b, ok in zip(best, letter, strict=True)], score, cost, rejected
 
 
-def sample_texts(docs: DataFrame, label: Column, text_col: str, id_col: str, per_label_docs: int, per_label_chars: int) -> dict[str, list[str]]:
-    """At most per_label_docs whole texts of each label, and no more once they pass per_label_chars, in the order of a hash."""
-    rows = docs.select(F.col(id_col).alias("id"), label.alias("label"), F.length(text_col).alias("n")).filter("label is not null and n > 0")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(7)), "id")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label_docs)
-    ranked = ranked.withColumn("sum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))).filter(f"coalesce(sum, 0) < {per_label_chars}")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ranked.select("id", "label", "rank")), "id")
-    out: dict[str, list[tuple]] = {}
-    for r in texts.collect():
-        if r["text"]:
-            out.setdefault(r["label"], []).append((r["rank"], r["text"]))
-    return {k: [t for _, t in sorted(v)] for k, v in out.items()}
+def sample_texts(docs: DataFrame, label: Column, text_col: str, id_col: str, per_label_docs: int, per_label_chars: int) -> DataFrame:
+    """(label, n, text): at most per_label_docs whole texts of each label, and no more once they pass per_label_chars, in the order of a hash
+    of id and text. One pass counts labels, one picks rows; only rows below their label's threshold are shuffled."""
+    rows = docs.select(label.alias("label"), F.col(f"`{text_col}`").alias("text"), place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(7)).alias("h")).filter("label is not null")
+    limits = {r["label"]: threshold(per_label_docs, r["count"]) for r in rows.groupBy("label").count().collect()}
+    return bounded_sample(rows.filter("text <> ''").filter(below(F.col("label"), limits, F.col("h"))), per_label_docs, per_label_chars)
 
 
 def detect_language(
@@ -218,14 +213,14 @@ def detect_language(
     """docs with lang_pred, score (0 to 1), cross_entropy and rejected; input columns of these names are replaced.
 
     The models learn from rows where `train` holds and lang isn't null: at most per_label_docs whole texts of each label
-    (and no further text after per_label_chars characters). Every row is scored on its whole text. A null text or one
+    (and no further text after per_label_chars characters). Rows of one id are rows of their own, each with its own
+    label. Every row is scored on its whole text. A null text or one
     without letters gets `und`, score 0 and rejected true. Without any labelled row every text is `und`."""
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.drop("lang_pred", "score", "cross_entropy", "rejected")
-    sample = sample_texts(base.filter(train) if train is not None else base, F.col(lang_col), text_col, id_col, per_label_docs, per_label_chars)
-    model = LanguageModel.fit(sample) if sample else None
-    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+    sample = sample_texts(base.filter(train) if train is not None else base, F.col(f"`{lang_col}`"), text_col, id_col, per_label_docs, per_label_chars)
+    sent = spark.sparkContext.broadcast(fit_on(sample, LanguageModel.fit) or pickle.dumps(None))
     names, at = base.columns, base.columns.index(text_col)
     schema = StructType([*base.schema.fields, *StructType.fromDDL("lang_pred string, score double, cross_entropy double, rejected boolean").fields])
 

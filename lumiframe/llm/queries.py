@@ -10,9 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folds(id_col: str, n: int) -> Column:
-    """The fold of a row: crc32 of its id as text, modulo n."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+def in_fold(id_col: str, n: int, k: int) -> Column:
+    """Whether crc32 of a row's id as text is k modulo n; a row without an id is held out, too."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n == k, F.lit(True))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,24 +44,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.langid import detect_language
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", folds("doc_id", 5) == 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", in_fold("doc_id", 5, 0))
     return detect_language(docs, train=~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.toxicity import score_toxicity
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", folds("doc_id", 4) == 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", in_fold("doc_id", 4, 2))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    labelled = docs.filter(~F.col("held_out")).join(labels, "doc_id").select("doc_id", "text", "label")
-    return score_toxicity(docs, labelled).select("doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending")
+    return score_toxicity(docs, labels, train=~F.col("held_out")).select("doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending")
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.warc import build_derivatives, responses_of_pages
 
     records = build_derivatives(responses_of_pages(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
-    return records.select(F.col("source_id").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest")
+    return records.select(F.col("source_id").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest", "headers", "block")
 
 
 def domain() -> Column:
@@ -85,7 +84,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumiframe.llm.lm_score import score_texts
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", folds("doc_id", 10) == 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", in_fold("doc_id", 10, 0))
     return score_texts(docs, train=~F.col("held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords")
 
 

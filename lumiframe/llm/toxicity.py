@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lumiframe.llm import words as W
+from lumiframe.llm.sampling import below, bounded_sample, fit_on, place, threshold
 from lumiframe.llm.storage import small_batches
 
 BITS = 18
@@ -152,21 +153,32 @@ class ToxicityModel:
 
 def _features(texts: list[str]) -> Iterator[Features]:
     """One Features of a small batch of texts (any size of text)."""
-    old, W.SLICE = W.SLICE, 1 << 62
-    try:
-        for _, words in W.slices(pa.array(texts, pa.string())):
-            yield Features(words)
-    finally:
-        W.SLICE = old
+    for _, words in W.slices(pa.array(texts, pa.large_string()), 1 << 62):
+        yield Features(words)
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, label: Column, per_class: int, max_chars: int) -> tuple[list[str], list[int]]:
-    rows = docs.select(F.col(id_col).alias("id"), label.cast("int").alias("y"), F.length(text_col).alias("n")).filter(f"y in (0, 1) and n between 1 and {max_chars}")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(3)), "id"))).filter(f"r <= {per_class}")
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ranked), "id").select("id", "t", "y").filter("t is not null").collect()
-    got.sort(key=lambda r: (r["id"], r["y"], r["t"]))
-    mixed = np.random.default_rng(11).permutation(len(got))
-    return [got[i]["t"] for i in mixed], [got[i]["y"] for i in mixed]
+def _sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int, per_class_chars: int) -> tuple[DataFrame, float | None]:
+    """(label, n, text) and the share of label 1 among all labelled rows. Ids are chosen from ids and labels alone; then one
+    scan picks the texts of the chosen ids, which are at most a few thousand and are broadcast."""
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"))
+    counts = {r["label"]: r["count"] for r in own.join(known, "id").groupBy("label").count().collect()}
+    ids = docs.select(F.col(f"`{id_col}`").alias("id")).join(known, "id").select("id", "label").distinct()
+    picked = {r["label"]: threshold(per_class, r["count"]) for r in ids.groupBy("label").count().collect()}
+    chosen = known.filter(below(F.col("label"), picked, place("id", F.lit(3)))).join(own, "id", "left_semi")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("text <> ''").join(F.broadcast(chosen), "id")
+    every = sum(counts.values())
+    sample = bounded_sample(rows.select("label", "text", place("id", "text", F.lit(3)).alias("h")), per_class, per_class_chars)
+    return sample, counts.get(1, 0) / every if every else None
+
+
+def _fit(share: float | None):
+    def run(found: dict[int, list[str]]) -> ToxicityModel | None:
+        rows = [(t, y) for y, texts in found.items() for t in texts]
+        rows = [rows[i] for i in np.random.default_rng(11).permutation(len(rows))]
+        return ToxicityModel.fit([t for t, _ in rows], [y for _, y in rows], share) if len(found) == 2 else None
+
+    return run
 
 
 def _spans(f: Features, d: int, s: np.ndarray, at_least: float) -> list[str]:
@@ -176,21 +188,20 @@ def _spans(f: Features, d: int, s: np.ndarray, at_least: float) -> list[str]:
 
 
 def score_toxicity(
-    docs: DataFrame, labelled: DataFrame, label: str = "label", id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, per_class: int = 3000, max_sample_chars: int = 20_000, spans: bool = False
+    docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "label", id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, per_class: int = 3000, per_class_chars: int = 15_000_000, spans: bool = False
 ) -> DataFrame:
     """docs with score (0 to 1), predicted (1 if score >= cut), n_sentences and n_offending (and the offending sentences'
     texts, `sentences`, if asked for); input columns of these names are replaced.
 
-    labelled: rows with id_col, text_col and `label` (0 or 1); at most per_class of each label, of at most
-    max_sample_chars characters, train the model: a bounded sample in the order of a hash. Every text is scored whole.
-    A null text counts as empty; an empty one has the score of a text without sentences. Without both labels every
-    score is 0.5."""
+    labels: rows with id_col and `label` (0 or 1; others are ignored; an id with both is 1). Rows of docs where `train`
+    holds (default: all) and whose id has a label are learned from: at most per_class texts of each label, and no further
+    one after per_class_chars characters, in the order of a hash. Rows of one id are texts of their own. Every text is
+    scored whole. A null text counts as empty; an empty one has the score of a text without sentences. Without both
+    labels, or without rows, every score is 0.5."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts, labels = _sample(labelled, id_col, text_col, F.col(label), per_class, max_sample_chars)
-    every, ones = labelled.agg(F.count(F.when(F.col(label).isin(0, 1), 1)), F.count(F.when(F.col(label) == 1, 1))).first()
-    model = ToxicityModel.fit(texts, labels, ones / every) if len(set(labels)) == 2 else None
-    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+    sample, share = _sample(docs if train is None else docs.filter(train), labels, label, id_col, text_col, per_class, per_class_chars)
+    sent = spark.sparkContext.broadcast(fit_on(sample, _fit(share)) or pickle.dumps(None))
     new = ["score", "predicted", "n_sentences", "n_offending", *(["sentences"] if spans else [])]
     base = docs.drop(*new)
     names, at_col = base.columns, base.columns.index(text_col)

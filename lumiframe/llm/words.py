@@ -75,8 +75,8 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, Words]]:
-    """(row of the first text, words) for runs of rows of about SLICE bytes; a null text has no words. A text
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, Words]]:
+    """(row of the first text, words) for runs of rows of about `size` bytes; a null text has no words. A text
     longer than that is a slice of its own, never cut."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -88,7 +88,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, Words]]:
     data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield at, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 

@@ -1,19 +1,24 @@
 """Models, sharding, mixing, WARC records and the pipeline on small fixtures."""
 
 import math
+import pickle
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumiframe.llm import warc
-from lumiframe.llm.langid import detect_language
-from lumiframe.llm.lm_score import score_texts
+from lumiframe.llm import lm_score, warc
+from lumiframe.llm.langid import detect_language, sample_texts
+from lumiframe.llm.lm_score import AttentionModel, score_texts
 from lumiframe.llm.mixing import budgets, count_tokens, mix_sources
+from lumiframe.llm.sampling import fit_on
 from lumiframe.llm.sharding import shard_documents
-from lumiframe.llm.toxicity import score_toxicity
+from lumiframe.llm.toxicity import _sample, score_toxicity
 
 DIR = "/root/testdata/sf0.001"
 
@@ -81,7 +86,10 @@ def test_language(spark):
     odd = spark.createDataFrame([(1, None, None), (2, "", None), (3, "123 ...", None), (4, "zq" * 5, None)], "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r for r in detect_language(odd.unionByName(df.select("doc_id", "text", "lang").filter("doc_id > 10"))).filter("lang is null").collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and all(got[i]["rejected"] for i in (1, 2, 3)) and got[4]["lang_pred"] != "und"
-    assert {r["lang_pred"] for r in detect_language(odd).collect()} == {"und"}
+    assert {r["lang_pred"] for r in detect_language(odd).collect()} == {"und"} and detect_language(df.limit(0)).collect() == []
+    long = spark.createDataFrame([(None, " ".join(r["text"] or "" for r in df.filter("lang = 'de'").limit(60).collect()) * 3, "x")], "doc_id bigint, text string, lang string")
+    got = detect_language(df.select("doc_id", "text", "lang").unionByName(long).unionByName(long), F.col("doc_id") > 20).filter("doc_id is null").collect()
+    assert [r["lang_pred"] for r in got] == ["de", "de"]
 
 
 def test_toxicity(spark):
@@ -95,7 +103,7 @@ def test_toxicity(spark):
             parts.insert(rng.randrange(len(parts) + 1), f"{word()} vile{rng.choice(['a', 'b', 'nasty'])} {word()} {rng.choice(['rotten', 'foul'])}!")
         rows.append((i, " ".join(parts), int(bad)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
-    got = {r["doc_id"]: r for r in score_toxicity(df, df.filter("doc_id < 500"), spans=True).collect()}
+    got = {r["doc_id"]: r for r in score_toxicity(df.drop("label"), df.drop("text"), F.col("doc_id") < 500, spans=True).collect()}
     held = [(got[i], y) for i, _, y in rows if i >= 500]
     assert sum(r["predicted"] == y for r, y in held) >= 0.97 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got.values())
@@ -103,7 +111,25 @@ def test_toxicity(spark):
     assert sum(len(s) == 1 and "vile" in s[0] for s in found) >= 0.9 * len(found)
     odd = spark.createDataFrame([(1, None, 1), (2, "", 0)], "doc_id bigint, text string, label int")
     assert [r["score"] for r in score_toxicity(odd, df.limit(0)).collect()] == [0.5, 0.5]
-    assert all(r["predicted"] == 0 for r in score_toxicity(odd, df).collect())
+    assert score_toxicity(df.limit(0), df).collect() == []
+    texts = df.drop("label").unionByName(spark.createDataFrame([(None, None), (None, "a vilea rotten!"), (900, ""), (901, "word " * 60_000 + "vilea foul!"), (1, rows[0][1]), (1, "plain")], "doc_id bigint, text string"))
+    got = score_toxicity(texts.withColumn("label", F.lit("clash")).withColumn("h", F.lit(1)), df.drop("text").unionByName(df.drop("text")), F.col("doc_id").isNotNull()).collect()
+    assert len(got) == len(rows) + 6 and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["predicted"] for r in got if r["text"] in (None, "", "plain")} == {0} and {r["predicted"] for r in got if r["doc_id"] in (None, 901) and r["text"]} == {1}
+
+
+def test_bounded_sample(spark):
+    rows = spark.createDataFrame([(5, "de", f"de {i}") for i in range(50)] + [(5, "fr", f"fr {i}") for i in range(50)] + [(None, "fr", "fr null"), (6, None, "none"), (7, "de", None), (8, "it", "")], "doc_id bigint, lang string, text string")
+    sampled = lambda n, chars, df=rows: pickle.loads(fit_on(sample_texts(df, F.col("lang"), "text", "doc_id", n, chars), dict) or pickle.dumps({}))
+    got = sampled(20, 10**9)
+    assert {k: len(v) for k, v in got.items()} == {"de": 20, "fr": 20} and all(t.startswith(k) for k, v in got.items() for t in v)
+    few = sampled(20, 12)
+    assert all(few[k] == got[k][: len(few[k])] and sum(map(len, few[k][:-1])) < 12 <= sum(map(len, few[k])) for k in few)
+    assert sampled(20, 12, rows.limit(0)) == {}
+    labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (8, 0)], "doc_id bigint, label int")
+    sample, share = _sample(rows, labels, "label", "doc_id", "text", 30, 10**9)
+    got = sample.collect()
+    assert len({r["text"] for r in got}) == 30 and {r["label"] for r in got} == {1} and share == pytest.approx(100 / 101)
 
 
 def test_warc(spark):
@@ -127,6 +153,87 @@ def test_warc(spark):
     assert warc.build_derivatives(warc.responses_of_pages(pages.limit(0), "d")).collect() == []
 
 
+class SlowPage(HTMLParser):
+    """The text, title and links of a page by Python's own parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden, self.head, self.title, self.links, self.in_title = [], [], False, None, 0, False
+        self.feed(page)
+        self.close()
+        self.text = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\v\xa0]+", " ", "".join(self.parts))).strip()
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            return
+        if tag == "head":
+            self.head = True
+        elif tag not in "base link meta title noscript script style template html".split():
+            self.head = False
+        self.links += tag == "a" and any(k == "href" for k, _ in attrs)
+        if tag in ("script", "style", "template", "noscript"):
+            self.hidden.append(tag)
+            self.handle_data(" ")
+        elif tag == "title" and self.title is None:
+            self.title, self.in_title = "", True
+        elif tag in warc._BLOCK:
+            self.say("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            if tag == self.hidden[-1]:
+                self.hidden.pop()
+            return
+        if tag == "title":
+            self.in_title = False
+        if tag == "head":
+            self.head = False
+        elif tag in warc._BLOCK and not self.head:
+            self.say("\n")
+
+    def say(self, data):
+        if not self.head:
+            self.parts.append(data)
+
+    def handle_data(self, data):
+        if self.hidden:
+            if data == " " and not self.head:
+                self.parts.append(data)
+            return
+        if self.in_title:
+            self.title += data
+        if self.head and not self.in_title and data.strip():
+            self.head = False
+        if not (self.in_title and self.head):
+            self.say(data)
+
+
+def test_page_matches_slow_parser(spark):
+    rng = random.Random(7)
+    pieces = ["<p>", "</p>", "word ", "Ab &amp; c ", "<b class='x>y'>", "</b>", "<br/>", '<a href="u?a=1&b=2">', "</a>", "<a name=z>", "<script>if (a<b) {}</script>", "<style>p{}</style>", "<!-- no <p> -->", "<!doctype html>", "3 < 4 ", "<div title='it is'>", "</div>", "\n", "é&nbsp;", "<img alt=\"a>b\" />", "<TEMPLATE><p>x</p></TEMPLATE>", "<noscript>n</noscript>"]
+    heads = ["", "<html><head><title>T &lt; 1</title></head><body>", "<html><head><meta charset=utf-8><title>T</title><body>", "<head><link rel=x><title>T</title><p>", "<html><head><title>T</title>text"]
+    pages = [rng.choice(heads) + "".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(400)] + [r["html"] for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()]
+    for page in pages:
+        got, want = warc.Page(page), SlowPage(page)
+        assert (got.text, got.title, got.links) == (want.text, want.title, want.links), page
+    assert warc.visible_text("<html><head><title>T</title><body><p>Hello world</p></body></html>") == "Hello world"
+    for odd in ("<a ", "<title>", "<script", "<!--", "<noscript>", "</a", "<a b='", '<p c="', "<", "<template>", "&#", "<title>x</title>", "<script></script>", " \n"):
+        began = time.perf_counter()
+        warc.Page(odd * (1_000_000 // len(odd)))
+        assert time.perf_counter() - began < 5, odd
+
+
+def test_source_headers_are_kept():
+    given = [{"name": "WARC-Payload-Digest", "value": "sha1:GIVEN"}, {"name": "WARC-IP-Address", "value": "192.0.2.1"}, {"name": "WARC-Type", "value": "response"}, {"name": "x", "value": None}]
+    for r in warc.derive(1, "<urn:uuid:1>", "http://a/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nServer: s\r\n\r\n", "<p>x", given):
+        headers = {h["name"]: h["value"] for h in r[5]}
+        assert headers["WARC-Refers-To"] == "<urn:uuid:1>" and headers["X-Source-Payload-Digest"] == r[10] == "sha1:GIVEN"
+        assert headers["X-Source-WARC-IP-Address"] == "192.0.2.1" and headers["X-Source-HTTP-Server"] == "s" and headers["WARC-Refers-To-Target-URI"] == "http://a/" and "X-Source-x" not in headers
+
+
 def test_budgets():
     tokens = {("a", "x", "s"): 10, ("a", "y", "s"): 1000, ("b", "x", "s"): 1000}
     got = budgets(tokens, 400, [{}, {}, {}], 1)
@@ -177,7 +284,7 @@ def test_mixing(spark):
 
 def test_lm_score(spark):
     df = docs_of(spark).select("doc_id", "text").filter("doc_id < 60")
-    df = df.unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "zzqx"), (None, "The the")], "doc_id bigint, text string")).withColumn("score", F.lit("clash"))
+    df = df.unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "zzqx"), (None, "The the")], "doc_id bigint, text string")).withColumns({"score": F.lit("clash"), **{c: F.lit(c) for c in "k s m h c row rare kept train".split()}})
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
     rows = df.select("doc_id", "text").collect()
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for i, t in rows}
@@ -202,6 +309,63 @@ def test_lm_score(spark):
     assert score_texts(df.limit(0), train).collect() == []
 
 
+def test_lm_gradients():
+    rng = np.random.default_rng(1)
+    model = AttentionModel(np.array([5.0, 0, 3, 2, 2, 1, 1, 0, 4]))
+    model.p = {k: v.astype(np.float64) + (0.2 * rng.standard_normal(v.shape) if k != "bo" else 0) for k, v in model.p.items()}
+    ids = rng.integers(0, model.kinds, (3, lm_score.WINDOW + 1))
+    _, g = model.gradients(ids)
+    for k, v in model.p.items():
+        for at in rng.choice(v.size, min(v.size, 12), replace=False):
+            old, cost = v.flat[at], []
+            for step in (1e-5, -1e-5):
+                v.flat[at] = old + step
+                cost.append(model.gradients(ids)[0])
+            v.flat[at] = old
+            assert (cost[0] - cost[1]) / 2e-5 == pytest.approx(np.asarray(g[k]).flat[at], abs=1e-6), k
+
+
+def test_lm_forward_matches_naive_one():
+    """Every token of every text is scored once, with the window's context and nothing after it."""
+    rng, counts = np.random.default_rng(2), np.array([50.0, 0, 30, 20, 0, 10, 9, 8, 7, 40])
+    model = AttentionModel(counts)
+    p, kinds = model.p, model.kinds
+    lengths = [1, 2, 23, 24, 25, 26, 44, 45, 63, 64, 65, 130]
+    texts = [np.append(rng.integers(0, 9, n - 1), 9) for n in lengths]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    got = model.logs(np.concatenate(texts).astype(np.int32), first)
+    assert not np.isnan(got).any()
+
+    def naive(context, target):
+        x = p["E"][context]
+        e = (x[-1] @ p["q"]) @ (x @ p["k"]).T / math.sqrt(lm_score.WIDTH) + p["r"][np.arange(len(x))[::-1]]
+        w = np.exp(e) / np.exp(e).sum()
+        y = x[-1] + w @ (x @ p["v"])
+        h = np.concatenate([y, np.maximum(y @ p["m"], 0)])
+        soft = lambda z: np.exp(z) / np.exp(z).sum()
+        groups = soft(h @ p["g"] + p["bg"])
+        every = np.concatenate([groups[i] * soft(h @ p["o"][i] + p["bo"][i]) for i in range(model.groups)])[:kinds]
+        by_id = np.array([every[model.index[i]] / (model.unseen if model.index[i] == kinds - 1 else 1) for i in range(10)]) * (1 - lm_score.EVEN) + lm_score.EVEN / 10
+        assert by_id.sum() == pytest.approx(1, abs=1e-5)
+        return math.log10(by_id[target])
+
+    for d, text in enumerate(texts):
+        inputs, n = model.index[np.append(9, text[:-1])], len(text)
+        for t in range(n):
+            turn = 0 if t < 24 else 1 + (t - 24) // 20
+            begin = min(turn * 20, max(n - 24, 0))
+            assert got[first[d] + t] == pytest.approx(naive(inputs[begin : t + 1], text[t]), abs=1e-4)
+
+
+def test_lm_beats_the_base(spark):
+    """On held-out texts, by the attention model alone."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    got = [r for r in score_texts(df, train).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0]
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    print(sum(r["score"] for r in got), sum(r["base_score"] for r in got), sum(r["score"] > r["base_score"] for r in got), len(got), sum(r["n_tokens"] for r in got))
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     from lumiframe.llm.ngram_join import ngram_jaccard_components
