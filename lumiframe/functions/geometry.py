@@ -196,11 +196,63 @@ def squared_error(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), lit(0), lambda s, x: s + x)
 
 
-def flip_pose(yaw: Column, pitch: Column, roll: Column, key: Column, seed: int = 0) -> list[Column]:
-    """Yaw and roll negated for half of the keys, chosen by a seeded hash."""
-    flip = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2)) == 0
+def draw(key: Column, seed: str) -> Column:
+    """A number from 0 to 1 from a key, fixed by the seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"))), 1, 8), 16, 10).cast("double") / lit(2**32)
+
+
+def augmentation(key: Column, seed: str = "0") -> Column:
+    """Struct (flip, blur, factor) of an image's training variant: flipped with a share of 0.5, blurred with 0.05, reduced by
+    1, 6, 11 or 16."""
+    factor = F.lit(1) + 5 * F.floor(draw(key, seed + ":factor") * 4).cast("int")
+    return F.struct((draw(key, seed + ":flip") < 0.5).alias("flip"), (draw(key, seed + ":blur") < 0.05).alias("blur"), factor.alias("factor"))
+
+
+def flip_pose(yaw: Column, pitch: Column, roll: Column, flip: Column) -> list[Column]:
+    """Yaw and roll negated where flip holds."""
     return [F.when(flip, -yaw).otherwise(yaw), pitch, F.when(flip, -roll).otherwise(roll)]
 
 
+def cube_corners(yaw: Column, pitch: Column, roll: Column, x: Column, y: Column, size: float = 150.0) -> Column:
+    """Array of the eight corners (x, y) of a pose's cube round a point: the first corner lies half a side left of and above
+    the point; the corner of number b has the axes of the set bits of b added."""
+    ends = axis_ends(yaw, pitch, roll, size)
+    half = lit(0.5 * size)
+
+    def corner(b: int) -> Column:
+        used = [i for i in range(3) if b >> i & 1]
+        return F.struct(sum((ends[2 * i] for i in used), x - half).alias("x"), sum((ends[2 * i + 1] for i in used), y - half).alias("y"))
+
+    return F.array(*[corner(b) for b in range(8)])
+
+
+def crop_then_resize(width: Column, height: Column, to_w: Column, to_h: Column) -> Column:
+    """Struct (crop, mode): the centred crop of the target's aspect ratio and how the rest is scaled to it."""
+    crop = center_crop(width, height, to_w / to_h)
+    return F.struct(crop.alias("crop"), resize_mode(crop["w"], crop["h"], to_w, to_h).alias("mode"))
+
+
+def detector_size(width: Column, height: Column, config: EngineConfig = DEFAULT) -> Column:
+    """Struct (scale, w, h) of a frame as the detector sees it; small frames grow."""
+    s = detector_scale(width, height, config)
+    return F.struct(s.alias("scale"), truncate(width * s).alias("w"), truncate(height * s).alias("h"))
+
+
+#: The means of the blue, green and red channels that the detector takes off; the weights of gray.
+CHANNEL_MEANS = (104.0, 117.0, 123.0)
+GRAY_WEIGHTS = (0.114, 0.587, 0.299)
+
+
+def detector_channels(pixel: Column) -> Column:
+    """Array of a (blue, green, red) pixel's channels without their means."""
+    return F.array(*[pixel[i] - lit(m) for i, m in enumerate(CHANNEL_MEANS)])
+
+
+def gray(pixel: Column) -> Column:
+    """Gray of a (blue, green, red) pixel, to the nearest whole number."""
+    b, g, r = (pixel[i] * lit(w) for i, w in enumerate(GRAY_WEIGHTS))
+    return F.floor(b + g + r + lit(0.5)).cast("int")
+
+
 def overlay_label(confidence: Column, score: Column) -> Column:
     return F.format_string("conf %.3f score %.1f", confidence, score)

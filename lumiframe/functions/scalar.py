@@ -114,3 +114,42 @@ def chain(predicates: list[Column]) -> Column:
     for p in predicates:
         out = out & F.coalesce(p, F.lit(False))
     return out
+
+
+def animation_frames(fps: Column, config: EngineConfig = DEFAULT) -> Column:
+    """Frames of an animation at a rate, at least one."""
+    return F.greatest(F.lit(1).cast("bigint"), truncate(fps * lit(config.animation_sec)))
+
+
+def day_stamp(at: Column) -> Column:
+    """The day as eight digits, as log files carry it in their names."""
+    return F.date_format(at, "yyyyMMdd")
+
+
+def strip_set(text: Column, characters: str) -> Column:
+    """text without the characters of a set at either end; the set isn't a suffix."""
+    return F.btrim(text, F.lit(characters))
+
+
+def half(x: Column) -> Column:
+    """The nearest half-precision value (11 significant bits, ties to even, no subnormals below 2**-24), as a double.
+    Beyond 65,504 it is infinite."""
+    size = F.abs(x)
+    power = F.greatest(F.lit(-14.0), F.floor(F.log2(size)))
+    # log2 may be off by one just below a power of two
+    power = F.when(F.pow(lit(2), power) > size, F.greatest(F.lit(-14.0), power - 1)).when(F.pow(lit(2), power + 1) <= size, power + 1).otherwise(power)
+    step = F.pow(lit(2), power - 10)
+    near = F.rint(x / step) * step
+    return F.when(x == 0, x).when(F.abs(near) > 65504, F.signum(x) * lit(float("inf"))).otherwise(near)
+
+
+def frame_count(valid_frames: Column) -> Column:
+    """The number of frames in a map from scores to frames."""
+    return F.aggregate(F.map_values(valid_frames), F.lit(0).cast("bigint"), lambda n, v: n + F.size(v))
+
+
+def best_frames(valid_frames: Column) -> Column:
+    """The frames of the highest score of a map keyed by scores as texts; null for an empty map."""
+    keys = F.map_keys(valid_frames)
+    top = F.array_max(F.transform(keys, lambda k: F.struct(k.cast("double").alias("s"), k.alias("k"))))["k"]
+    return F.when(F.size(keys) > 0, F.element_at(valid_frames, top))

@@ -94,3 +94,18 @@ def merge_segment_results(results: DataFrame, by_success: bool = False) -> DataF
 def segment_counts(results: DataFrame) -> DataFrame:
     each = results.select("video_id", "segment", "success").distinct()
     return each.groupBy("video_id").agg(F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"))
+
+
+def split_plan(videos: DataFrame, segments: int, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(video_id, segment, start_sec, segment_sec): equal parts of the videos (video_id, duration) that are longer than
+    split_min_duration_sec; the others, and all if segments is 1 or less, are one part."""
+    n = F.when(F.col("duration") > config.split_min_duration_sec, F.lit(max(1, segments))).otherwise(1)
+    rows = videos.select("video_id", "duration", n.alias("_n")).withColumn("segment", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    part = F.col("duration") / F.col("_n")
+    return rows.select("video_id", "segment", (F.col("segment") * part).alias("start_sec"), part.alias("segment_sec"))
+
+
+def assign_centres(features: DataFrame, centres: DataFrame) -> DataFrame:
+    """features (video_id, frame_idx, t, score) with the nearest centre c of their video and its squared distance; centres:
+    (video_id, c, ct, cs), at most preview_frames a video. Of equal distances the least c."""
+    return _nearest(features, centres)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumiframe.functions import scalar as S
+from lumiframe.schemas import CACHE
+from lumiframe.sources.readers import read_processed_log
 
 
 def pending(files: DataFrame, processed: DataFrame) -> DataFrame:
@@ -44,18 +46,70 @@ def stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(frames), F.lit(0)).alias("frames"), F.coalesce(F.sum(F.length(F.to_json("valid_frames"))), F.lit(0)).alias("bytes"))
 
 
+def clear(cache: DataFrame) -> DataFrame:
+    return cache.limit(0)
+
+
+def changed(cache: DataFrame, flushed: DataFrame) -> DataFrame:
+    """The entries that the flushed table lacks or has an older one of; their number says whether a flush is due."""
+    old = flushed.groupBy("signature").agg(F.max("cached_at").alias("_at"))
+    return latest(cache).join(old, "signature", "left").filter(F.col("_at").isNull() | (F.col("cached_at") > F.col("_at"))).drop("_at")
+
+
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The names of the whole versions of a cache, oldest first: a version is whole once its writer has left _SUCCESS."""
+    fs, base = _fs(spark, path)
+    if not fs.exists(base):
+        return []
+    names = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(base)) if n.startswith("v") and n[1:].isdigit())
+    return [n for n in names if fs.exists(_fs(spark, f"{path}/{n}/_SUCCESS")[1])]
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cache as last flushed to a folder, or None."""
+    found = _versions(spark, path)
+    return spark.read.schema(CACHE).parquet(f"{path}/{found[-1]}") if found else None
+
+
 def flush(cache: DataFrame, path: str) -> None:
-    """Write the whole cache to a staging folder, then take its place by a rename."""
+    """Writes the whole cache as a new version below path. A failure at any moment leaves the version before as the current
+    one; that stays for readers that have begun, older ones go."""
     spark = cache.sparkSession
-    cache.write.mode("overwrite").parquet(path + ".staging")
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".staging"))
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"can't rename to {path}")
+    found = _versions(spark, path)
+    number = int(found[-1][1:]) + 1 if found else 1
+    cache.write.mode("overwrite").parquet(f"{path}/v{number:012d}")
+    fs, _ = _fs(spark, path)
+    for old in found[:-1]:
+        fs.delete(_fs(spark, f"{path}/{old}")[1], True)
 
 
 def status_rows(results: DataFrame) -> DataFrame:
     """(path, status, error) of results (path, success, error); only successes count as processed."""
     return results.select("path", F.when(F.col("success"), "processed").otherwise("failed").alias("status"), F.when(~F.col("success"), F.coalesce("error", F.lit(""))).alias("error"))
+
+
+def log_lines(results: DataFrame) -> DataFrame:
+    """(log, line): what a run appends to its logs. A success is a line of the logs `success` and `processed`; a failure is
+    two of `error`, the path and the message, which stay together."""
+    status = status_rows(results)
+    logs = F.when(F.col("status") == "processed", F.array(F.lit("success"), F.lit("processed"))).otherwise(F.array(F.lit("error")))
+    line = F.when(F.col("status") == "processed", F.col("path")).otherwise(F.concat("path", F.lit("\n"), F.regexp_replace("error", r"[\r\n]+", " ")))
+    return status.select(F.explode(logs).alias("log"), line.alias("line"))
+
+
+def append_logs(results: DataFrame, base: str) -> None:
+    """Appends log_lines to text files below base, a folder for each log (log=success and so on)."""
+    log_lines(results).write.mode("append").partitionBy("log").text(base)
+
+
+def processed(spark: SparkSession, base: str) -> DataFrame:
+    """The paths that earlier runs have logged as processed below base; none before the first."""
+    fs, folder = _fs(spark, f"{base}/log=processed")
+    if not fs.exists(folder):
+        return spark.createDataFrame([], "path string")
+    return read_processed_log(spark, f"{base}/log=processed")

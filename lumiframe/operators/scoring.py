@@ -64,6 +64,13 @@ def result_map(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("valid_frames"))
 
 
+def result_rows(videos: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(video_id, success, valid_frames) of every video; one without frames has an empty map."""
+    empty = F.create_map().cast("map<string,array<bigint>>")
+    maps = result_map(grouped)
+    return videos.select("video_id").join(maps, "video_id", "left").select("video_id", F.lit(True).alias("success"), F.coalesce("valid_frames", empty).alias("valid_frames"))
+
+
 def best_frame(videos: DataFrame, valid: DataFrame) -> DataFrame:
     """(video_id, frame_idx, score) of the first frame of the highest score; frame 0 where a video has none."""
     best = valid.groupBy("video_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "frame_idx")).alias("b"))

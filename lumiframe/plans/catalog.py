@@ -15,7 +15,7 @@ from lumiframe.functions import scalar as S
 from lumiframe.functions.scalar import lit
 from lumiframe.operators import artifacts, cache, detect, motion, scoring
 from lumiframe.sources import fixtures as X
-from lumiframe.sources.readers import sampled_scan, table
+from lumiframe.sources.readers import frame_at, scan, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,7 +74,7 @@ def motion_statistics(spark, d):
 @query(f"WITH {X.FRAMES_SQL}, {X.VIDEOS_SQL} SELECT f.video_id, f.frame_idx, f.event_id FROM frames f JOIN videos v USING (video_id) WHERE f.frame_idx % 12 = 0 AND f.frame_idx < v.total_frames")
 def sample_every_n(spark, d):
     joined = X.frames(spark, d).join(X.videos(spark, d), "video_id")
-    return sampled_scan(joined, F.col("fps"), F.col("total_frames")).select("video_id", "frame_idx", "event_id")
+    return scan("CV2")(joined, F.col("fps"), F.col("total_frames")).select("video_id", "frame_idx", "event_id")
 
 
 @query(f"WITH {X.VIDEOS_SQL} SELECT video_id, total_frames, fps, total_frames / fps AS duration FROM videos")
@@ -84,7 +84,7 @@ def video_info(spark, d):
 
 @query(f"WITH {X.FRAMES_SQL} SELECT video_id, frame_idx, event_id FROM frames WHERE frame_idx = 7")
 def frame_lookup(spark, d):
-    return X.frames(spark, d).filter("frame_idx = 7").select("video_id", "frame_idx", "event_id")
+    return frame_at(X.frames(spark, d), 7).select("video_id", "frame_idx", "event_id")
 
 
 # ---- frame quality
@@ -127,15 +127,15 @@ def prior_boxes(spark, d):
 
 
 def _with_prior(spark, d):
-    """Each vector as the model output of the prior whose id is vec_id * 8."""
-    v = X.vectors(spark, d).withColumn("prior_id", F.col("vec_id") * 8)
+    """Each vector as the model output of the prior of id vec_id * 8, counted round the 16,800 priors."""
+    v = X.vectors(spark, d).withColumn("prior_id", F.col("vec_id") * 8 % 16800)
     return v.join(detect.prior_boxes(spark, 640, 640), "prior_id").withColumn("prior", F.array("cx", "cy", "w", "h"))
 
 
 _OUT = (
     _PRIORS.replace("WITH ", f"WITH {X.VECTORS_SQL}, ", 1)
     + """, pr AS (SELECT row_number() OVER (ORDER BY s, i, j, k) - 1 AS prior_id, (j + 0.5e0) * step / 640 AS cx, (i + 0.5e0) * step / 640 AS cy, side / 640e0 AS w, side / 640e0 AS h FROM two),
-o AS (SELECT vec_id, e, cx, cy, w, h FROM vectors JOIN pr ON prior_id = vec_id * 8)"""
+o AS (SELECT vec_id, e, cx, cy, w, h FROM vectors JOIN pr ON prior_id = vec_id * 8 % 16800)"""
 )
 
 
@@ -223,10 +223,10 @@ def bbox_derivations(spark, d):
     return X.detections(spark, d).select("vec_id", *[c.alias(n) for n, c in G.box(F.col("bbox")).items()])
 
 
-@query(f"WITH {X.DETECTIONS_SQL} SELECT vec_id, ax AS left_eye_x, ay AS left_eye_y, nx AS nose_x, ny AS nose_y, cx AS right_mouth_x, cy AS right_mouth_y FROM detections")
+@query(f"WITH {X.DETECTIONS_SQL} SELECT vec_id, ax AS left_eye_x, ay AS left_eye_y, bx AS right_eye_x, by_ AS right_eye_y, nx AS nose_x, ny AS nose_y, dx AS left_mouth_x, dy AS left_mouth_y, cx AS right_mouth_x, cy AS right_mouth_y FROM detections")
 def landmark_points(spark, d):
     p = G.landmark_points(F.col("landmarks"))
-    return X.detections(spark, d).select("vec_id", *[p[n][a].alias(f"{n}_{a}") for n in ("left_eye", "nose", "right_mouth") for a in "xy"])
+    return X.detections(spark, d).select("vec_id", *[p[n][a].alias(f"{n}_{a}") for n in G.POINTS for a in "xy"])
 
 
 # Scored frames: the score falls as the motion rises.
@@ -432,9 +432,10 @@ def cache_upsert(spark, d):
     return cache.upsert(_cached(spark, d), fresh).select("signature", "file_path", "cached_at")
 
 
-@query("SELECT count(*) FILTER (doc_id % 2 = 0) + count(*) FILTER (doc_id % 4 = 0) AS entries, count(*) FILTER (doc_id % 2 = 0) + count(*) FILTER (doc_id % 4 = 0) AS frames FROM documents")
+@query("""WITH c AS (SELECT doc_id AS n FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id + 7 FROM documents WHERE doc_id % 4 = 0)
+SELECT count(*) AS entries, count(*) AS frames, CAST(coalesce(sum(length('{"1.0":[' || n || ']}')), 0) AS BIGINT) AS bytes FROM c""")
 def cache_stats(spark, d):
-    return cache.stats(_cached(spark, d)).select("entries", F.col("frames").cast("bigint").alias("frames"))
+    return cache.stats(_cached(spark, d)).select("entries", *[F.col(c).cast("bigint").alias(c) for c in ("frames", "bytes")])
 
 
 @query(
@@ -495,8 +496,8 @@ def fps_from_json(spark, d):
     return table(spark, d, "events").select("event_id", S.stream_fps(probe).alias("fps"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(CASE doc_id % 4 WHEN 0 THEN 'CUDA error: Out of Memory' WHEN 1 THEN 'Runtime Error: device out of memory' WHEN 2 THEN 'allocation failed' ELSE substr(text, 1, 40) END), 'out of memory|allocation failed') AS oom FROM documents")
+@query("SELECT doc_id, coalesce(regexp_matches(lower(CASE doc_id % 4 WHEN 0 THEN 'CUDA error: Out of Memory' WHEN 1 THEN 'Runtime Error: device out of memory' WHEN 2 THEN 'allocation failed' ELSE text END), 'out of memory|allocation failed'), false) AS oom, coalesce(regexp_matches(lower(text), 'out of memory|allocation failed'), false) AS text_oom FROM documents")
 def oom_classifier(spark, d):
     k = F.col("doc_id") % 4
-    message = F.when(k == 0, "CUDA error: Out of Memory").when(k == 1, "Runtime Error: device out of memory").when(k == 2, "allocation failed").otherwise(F.substring("text", 1, 40))
-    return table(spark, d, "documents").select("doc_id", S.is_out_of_memory(message).alias("oom"))
+    message = F.when(k == 0, "CUDA error: Out of Memory").when(k == 1, "Runtime Error: device out of memory").when(k == 2, "allocation failed").otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", S.is_out_of_memory(message).alias("oom"), S.is_out_of_memory(F.col("text")).alias("text_oom"))

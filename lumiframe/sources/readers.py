@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumiframe import schemas
 from lumiframe.config import DEFAULT, EngineConfig
 from lumiframe.functions import scalar
+from lumiframe.functions.geometry import euler_from_matrix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +23,22 @@ def list_videos(spark: SparkSession, base: str, config: EngineConfig = DEFAULT)
 
 def read_processed_log(spark: SparkSession, path: str) -> DataFrame:
     """Distinct trimmed lines that aren't blank."""
-    return spark.read.text(path).select(F.trim("value").alias("path")).filter("length(path) > 0").distinct()
+    return processed_paths(spark.read.text(path), "value")
+
+
+def processed_paths(lines: DataFrame, column: str) -> DataFrame:
+    return lines.select(F.trim(column).alias("path")).filter("length(path) > 0").distinct()
 
 
 def read_cache_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of schemas.CACHE from a JSON object that maps signatures to entries."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.CACHE_FILE)["cache"].alias("c"))
+    """Rows of schemas.CACHE from files of a JSON object that maps signatures to entries. A file is one value, as its
+    writer rewrites it whole; large caches are tables (operators.cache)."""
+    return cache_entries(spark.read.text(path, wholetext=True), "value")
+
+
+def cache_entries(texts: DataFrame, column: str) -> DataFrame:
+    """Rows of schemas.CACHE from a column of such JSON objects; a text that isn't one has none."""
+    parsed = texts.select(F.from_json(column, schemas.CACHE_FILE)["cache"].alias("c"))
     entry = parsed.select(F.explode("c").alias("signature", "e"))
     return entry.select("signature", "e.file_path", "e.valid_frames", "e.cached_at")
 
@@ -44,13 +55,39 @@ def _tokens(spark: SparkSession, path: str) -> DataFrame:
 def read_pose_text(spark: SparkSession, path: str, radians: bool, with_box: bool = False) -> DataFrame:
     """Space-delimited rows: name and three angles, then a box if with_box. Radians become degrees; a roll in radians
     also turns its sign."""
-    t = F.col("t")
+    return _tokens(spark, path).select(*pose_fields(F.col("t"), radians, with_box))
+
+
+def pose_fields(t: Column, radians: bool, with_box: bool = False) -> list[Column]:
+    """Name, yaw, pitch, roll (and box) of such a row's tokens."""
     yaw, pitch, roll = (t[i].try_cast("double") for i in (1, 2, 3))
     angles = [F.degrees(yaw), F.degrees(pitch), -F.degrees(roll)] if radians else [yaw, pitch, roll]
     cols = [t[0].alias("name"), *[a.alias(n) for a, n in zip(angles, ("yaw", "pitch", "roll"), strict=True)]]
     if with_box:
         cols += [t[4 + i].try_cast("double").alias(n) for i, n in enumerate(("x_min", "y_min", "x_max", "y_max"))]
-    return _tokens(spark, path).select(*cols)
+    return cols
+
+
+def read_rotations(spark: SparkSession, poses: str, boxes: str) -> DataFrame:
+    """(name, yaw, pitch, roll, x_min, y_min, x_max, y_max) of files with a rotation matrix (name_pose.txt: three rows, then
+    a translation) and of files with a box (dockerface-name_rgb.txt: a label and four numbers); angles in degrees. A box
+    line of fewer than four tokens, or no box file, gives a null box: the whole image."""
+    part = lambda pattern: F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    number = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    rows = spark.read.text(poses, wholetext=True).select(part(r"([^/]*)_pose\.[^./]*$").alias("name"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("r"))
+    cell = lambda i, j: F.get(F.filter(F.split(F.trim(F.get(F.col("r"), F.lit(i))), r"\s+"), lambda x: x != ""), F.lit(j)).try_cast("double")
+    roll, pitch, yaw = euler_from_matrix([[cell(i, j) for j in range(3)] for i in range(3)])
+    angles = rows.select("name", yaw.alias("yaw"), pitch.alias("pitch"), roll.alias("roll"))
+    line = spark.read.text(boxes).withColumn("_p", F.monotonically_increasing_id())
+    first = line.select(part(r"dockerface-([^/]*)_rgb\.[^./]*$").alias("name"), "_p", number.alias("t")).groupBy("name").agg(F.min_by("t", "_p").alias("t"))
+    box = [F.when(F.size("t") >= 4, F.get("t", F.lit(i + 1)).try_cast("double")).alias(n) for i, n in enumerate(("x_min", "y_min", "x_max", "y_max"))]
+    return angles.join(first.select("name", *box), "name", "left")
+
+
+def read_model_config(spark: SparkSession, path: str) -> DataFrame:
+    """(name, key, value) of a JSON file whose `models` object holds an object of settings for each model."""
+    models = spark.read.text(path, wholetext=True).select(F.from_json("value", "models map<string,map<string,string>>")["models"].alias("m"))
+    return models.select(F.explode("m").alias("name", "s")).select("name", F.explode("s").alias("key", "value"))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -70,23 +107,32 @@ def sampled_scan(frames: DataFrame, fps: Column, total: Column | None) -> DataFr
     return frames.filter(keep if total is None else keep & (F.col("frame_idx") < total))
 
 
+def _motion_scan(*args, **kwargs) -> DataFrame:
+    from lumiframe.operators.motion import window_best_frames
+
+    return window_best_frames(*args, **kwargs)
+
+
+_SCANS: dict = {"cv2": sampled_scan, "decord": lambda frames, fps, total: sampled_scan(frames, fps, None), "mvextractor": _motion_scan}
+
+
+def register_scan(name: str, f) -> None:
+    """Makes a scan of one's own known by a name."""
+    _SCANS[name.lower()] = f
+
+
 def scan(name: str):
     """The scan of a name in any case: `cv2` stops at total_frames, `decord` doesn't, `mvextractor` is the motion scan
-    (operators.motion). Another name is an error."""
-    found = {"cv2": sampled_scan, "decord": lambda frames, fps, total: sampled_scan(frames, fps, None), "mvextractor": None}
-    if name.lower() not in found:
+    (operators.motion). A name that isn't registered is an error."""
+    if name.lower() not in _SCANS:
         raise ValueError(f"unknown scan: {name}")
-    if name.lower() == "mvextractor":
-        from lumiframe.operators.motion import window_best_frames
-
-        return window_best_frames
-    return found[name.lower()]
+    return _SCANS[name.lower()]
 
 
-def frame_at(frames: DataFrame, index: int, total: int) -> DataFrame:
-    """The frame of an index; an index below 0 or not below total is an error."""
+def frame_at(frames: DataFrame, index: int, total: int | None = None) -> DataFrame:
+    """The frame of an index in each video; an index below 0 or not below total, if that is known, is an error."""
     if index < 0:
         raise ValueError("negative frame index")
-    if index >= total:
+    if total is not None and index >= total:
         raise IndexError("frame index out of range")
     return frames.filter(F.col("frame_idx") == index)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lumiframe.plans import catalog
+from lumiframe.plans import catalog, records  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "orders part events documents embeddings pages".split()
