@@ -28,16 +28,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked ones: that of the least id. Repeated rows of one id are one document;
-    rows without an id stay."""
+    """Keeps one document of each group of linked ones: that of the least id. Rows of one id are one document, of which the
+    row with the least content stays (the columns in order); rows without an id stay."""
     scratch = Scratch(spark, "pipeline-join")
-    found = scratch.save(ngram_jaccard_components(docs), "found")
+    with Scratch(spark, "pipeline-join-steps") as steps:
+        found = scratch.save(ngram_jaccard_components(docs, scratch=steps), "found")
     dropped = scratch.save(found.filter("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     kept = exclude(docs, dropped, "doc_id")
     twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not twice.isEmpty():
-        single = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = exclude(kept, twice, "doc_id").unionByName(single.select(*kept.columns))
+        again = kept.join(twice, "doc_id", "left_semi")
+        first = again.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("first"))
+        kept = exclude(kept, twice, "doc_id").unionByName(first.select("first.*"))
     return kept.select(*docs.columns)
 
 

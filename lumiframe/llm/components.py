@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumiframe.llm.storage import Scratch
@@ -29,16 +29,23 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     that is reachable. Null ends and loops are ignored; a node without an edge isn't returned.
 
     Each round is two aggregations with map-side partials and two equi-joins, written to the shared folder, so neither
-    a hub nor the number of rounds lengthens the lineage. It ends when no target of an edge has an edge to a smaller
-    node, that is when all trees are stars. Nothing but that answer reaches the driver."""
-    now = scratch.save(
-        edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    while True:
-        sources = now.groupBy("u").agg(F.count("*").alias("n"))
-        if now.select("v").join(sources.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and sources.filter("n > 1").isEmpty():
-            break
-        step = scratch.save(_small_star(_large_star(now)).distinct(), "star")
+    a hub nor the number of rounds lengthens the lineage. It ends when a round changes nothing, which the number of edges and
+    a sum of their hashes tell, taken while they are written; then all trees are stars. Nothing else reaches the driver."""
+    now = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now, before = _saved(now.distinct(), scratch)
+    while before[0]:
+        step, after = _saved(_small_star(_large_star(now)).distinct(), scratch)
         scratch.drop(now)
-        now = step
+        now, same, before = step, before == after, after
+        if same:
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _saved(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """The table of the edges and what tells it from another one."""
+    seen = Observation()
+    sums = [F.sum(F.xxhash64("u", "v", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+    out = scratch.save(edges.observe(seen, F.count("*").alias("n"), *sums), "edges")
+    got = seen.get
+    return out, (got["n"], got["s1"], got["s2"])

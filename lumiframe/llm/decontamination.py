@@ -1,26 +1,24 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-Features are 5-word shingles. Items are grouped into bands of like size. Over every document slide windows of the
-band's size; their 64-bit SimHash comes from running bit counts, so each window costs the same whatever its size. Four
-16-bit blocks index the items, each with all its values within distance 3: two fingerprints within RADIUS = 15 agree
-within 3 on some block, so no such pair is missed. Near copies whose fingerprints lie farther apart (the windows have the
-band's size and step, not the item's) are found by the shingles they share with the item: a window of enough similarity
-holds that share of the item's weight, so every such window is looked at. The candidates are verified on the shingles themselves: weighted
-Jaccard of the item with the document's best aligned window of the item's size, a shingle weighing more the fewer
-items hold it."""
+Features are 5-word shingles. Windows of every item's own size slide over a document, at every start. A window that is
+similar to an item holds at least `threshold` of the item's weight in shingles that items hold; running sums of these
+weights rule out all other windows of a size at once, without loss. The fingerprints of the windows that are left come
+from running bit counts. Four 16-bit blocks index the items; a window looks up all values within distance 3 of its blocks:
+two fingerprints within RADIUS = 15 agree within 3 on some block, so no such pair is missed. Similar windows whose
+fingerprints lie farther apart are found by what they share with the item itself. Candidates are verified exactly:
+weighted Jaccard of the item and the window, a shingle weighing more the fewer items hold it."""
 
 from __future__ import annotations
 
 import itertools
 import math
-import pickle
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumiframe.llm import words as W
 from lumiframe.llm.storage import small_batches
@@ -28,227 +26,238 @@ from lumiframe.llm.storage import small_batches
 SHINGLE, RADIUS = 5, 15
 #: Items that are sent to the executors at once; a larger benchmark is searched in several passes.
 ITEMS_AT_ONCE = 20_000
+#: Windows that are looked up at once.
+AT_ONCE = 2048
 _NEAR = np.array([sum(1 << i for i in c) for k in range(RADIUS // 4 + 1) for c in itertools.combinations(range(16), k)], dtype=np.uint16)
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
+
+
+def _pack(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(np.uint64).ravel()
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """SimHash: each bit is that of most features."""
-    ones = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0)
-    return int(np.packbits(2 * ones > len(hashes)).view(np.uint64)[0])
-
-
-class _Band:
-    """Items of n to 1.25 n shingles: the window, its step, and for each block the items near each of its values."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        sizes = [len(h) for _, h in items]
-        mean = sum(sizes) / len(sizes)
-        self.step = 1 if mean < 8 else 2 if mean < 24 else 4
-        self.blocks = max(1, round(mean / self.step))
-        self.item = np.array([i for i, _ in items])
-        prints = np.array([fingerprint(h) for _, h in items], dtype=np.uint64)
-        self.prints = prints
-        self.index = []
+    return int(_pack(2 * _bits(hashes).sum(axis=0, dtype=np.int64)[None] > len(hashes))[0])
+
+
+class HammingIndex:
+    """Fingerprints by their four 16-bit blocks; search() finds all within RADIUS."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.order, self.start = prints, [], []
         for b in range(4):
-            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
-            near = (value[:, None] ^ _NEAR[None, :]).ravel()
-            order = np.argsort(near, kind="stable")
-            start = np.searchsorted(near[order], np.arange(65537))
-            self.index.append((start.astype(np.int32), np.repeat(np.arange(len(items)), len(_NEAR))[order].astype(np.int32)))
+            value = self._block(prints, b)
+            order = np.argsort(value, kind="stable")
+            self.order.append(order.astype(np.int32))
+            self.start.append(np.searchsorted(value[order], np.arange(65537)).astype(np.int32))
+
+    @staticmethod
+    def _block(prints: np.ndarray, b: int) -> np.ndarray:
+        return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(windows, items of the benchmark) within RADIUS."""
-        at, which = [], []
-        for b, (start, item) in enumerate(self.index):
-            value = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            lo = start[value]
-            n = start[value + 1] - lo
-            full = np.flatnonzero(n)
-            if not len(full):
-                continue
-            n = n[full]
-            rows = np.repeat(full, n)
-            found = item[np.repeat(lo[full] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            near = np.bitwise_count(prints[rows] ^ self.prints[found]) <= RADIUS
-            at.append(rows[near])
-            which.append(found[near])
-        if not at:
-            return np.zeros(0, int), np.zeros(0, int)
-        pairs = np.unique(np.stack([np.concatenate(at), self.item[np.concatenate(which)]]), axis=1)
+        """Pairs (place in prints, item)."""
+        rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(prints), AT_ONCE):
+            own = prints[at : at + AT_ONCE]
+            for b in range(4):
+                near = self._block(own, b)[:, None] ^ _NEAR[None, :]
+                n = np.diff(self.start[b])[near]
+                w, v = np.nonzero(n)
+                n, lo = n[w, v], self.start[b][near[w, v]]
+                row = np.repeat(w, n)
+                item = self.order[b][np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64)
+                close = np.bitwise_count(own[row] ^ self.prints[item]) <= RADIUS
+                rows.append(at + row[close])
+                items.append(item[close].astype(np.int64))
+        pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(items)]), axis=1)
         return pairs[0], pairs[1]
 
 
+def item_shingles(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingles of each text in order."""
+    for _, words in W.slices(texts):
+        hashes, at = W.shingles(words, SHINGLE)
+        bounds = np.searchsorted(at, words.first)
+        for d in range(words.docs):
+            yield hashes[bounds[d] : bounds[d + 1]]
+
+
 class Benchmark:
-    """Index of items (id, text). Items without words are left out."""
+    """Items (id, text) with words. held: (sorted shingles, by how many items each is held) and the number of items of the
+    whole benchmark, if the items are only a part of it."""
 
-    def __init__(self, items: list[tuple], threshold: float):
+    def __init__(self, items: list[tuple], threshold: float, held: tuple[np.ndarray, np.ndarray, int] | None = None):
         self.threshold = threshold
-        self.ids, self.hashes = [], []
-        for start, words in W.slices(pa.array([t for _, t in items], pa.string())):
-            hashes, at = W.shingles(words, SHINGLE)
-            bounds = np.searchsorted(at, words.first)
-            for d in range(words.docs):
-                if bounds[d + 1] > bounds[d]:
-                    self.ids.append(items[start + d][0])
-                    self.hashes.append(hashes[bounds[d] : bounds[d + 1]])
-        held = Counter(x for h in self.hashes for x in set(h.tolist()))
-        self.weight = {x: 1 + math.log((1 + len(self.ids)) / n) for x, n in held.items()}
-        self.rare = 1 + math.log(1 + len(self.ids))
-        self.bags = [Counter(h.tolist()) for h in self.hashes]
-        self.known = [np.unique(h) for h in self.hashes]
-        self.price = [np.array([self.weight[x] for x in u.tolist()]) for u in self.known]
-        self.total = [sum(self.weight[x] * c for x, c in bag.items()) for bag in self.bags]
-        # of each known shingle: the items that hold it
-        shingle = np.concatenate([*self.known, np.zeros(0, np.uint64)])
-        order = np.argsort(shingle, kind="stable")
-        self.all, first = np.unique(shingle[order], return_index=True)
-        self.first = np.append(first, len(shingle))
-        self.holder = np.repeat(np.arange(len(self.known)), [len(u) for u in self.known])[order]
-        self.cost = np.concatenate([*self.price, np.zeros(0)])[order]
-        groups = defaultdict(list)
-        for i, h in enumerate(self.hashes):
-            groups[int(math.log(len(h)) / math.log(1.25))].append((i, h))
-        self.bands = [_Band(g) for _, g in sorted(groups.items())]
-
-    def similarity(self, item: int, hashes: list[int]) -> float:
-        own, other = self.bags[item], Counter(hashes)
-        both = either = 0.0
-        for x in own.keys() | other.keys():
-            w, a, b = self.weight.get(x, self.rare), own[x], other[x]
-            both += w * min(a, b)
-            either += w * max(a, b)
-        return both / either if either else 0.0
-
-    def _windows(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[_Band, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each band: fingerprints of its windows, their texts and first shingles."""
-        sizes = np.diff(bounds)
-        for step in sorted({b.step for b in self.bands}):
-            blocks = -(-sizes // step)
-            ends = np.cumsum(blocks)
-            first = ends - blocks
-            rows = np.repeat(first * step - bounds[:-1], sizes) + np.arange(len(hashes))
-            total = int(ends[-1]) if len(ends) else 0
-            if not total:
-                continue
-            padded = np.zeros((total * step, 64), dtype=np.uint8)
-            padded[rows] = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
-            held = np.zeros(total * step, dtype=np.uint8)
-            held[rows] = 1
-            ones, valid = padded[0::step].copy(), held[0::step].copy()
-            for j in range(1, step):
-                ones += padded[j::step]
-                valid += held[j::step]
-            # differences are below 2**16, so sums may wrap
-            run = np.zeros((total + 1, 64), dtype=np.uint16)
-            np.cumsum(ones, axis=0, dtype=np.uint16, out=run[1:])
-            count = np.concatenate([[0], np.cumsum(valid, dtype=np.int64)])
-            doc = np.repeat(np.arange(len(sizes)), blocks)
-            last = ends[doc]
-            at = np.arange(total)
-            for band in (b for b in self.bands if b.step == step):
-                size = band.blocks
-                inside = np.flatnonzero(at + size <= last)
-                prints = np.empty(total, dtype=np.uint64)
-                for k in range(0, total - size + 1, 8192):  # few rows at once stay in the processor's cache
-                    m = min(8192, total - size + 1 - k)
-                    half = ((count[k + size : k + size + m] - count[k : k + m]) >> 1).astype(np.uint16)
-                    bits = (run[k + size : k + size + m] - run[k : k + m]) > half[:, None]
-                    prints[k : k + m] = np.packbits(bits, axis=1).view(np.uint64).ravel()
-                cut = np.flatnonzero((at + size > last) & ((last - at >= 0.75 * size) | (at == first[doc])))
-                if len(cut):
-                    half = ((count[last[cut]] - count[cut]) >> 1).astype(np.uint16)
-                    prints[cut] = np.packbits((run[last[cut]] - run[cut]) > half[:, None], axis=1).view(np.uint64).ravel()
-                start = np.concatenate([inside, cut])
-                yield band, prints[start], doc[start], (start - first[doc[start]]) * step
-
-    def _shared(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(text, item) where the text's shingles hold enough of the item's weight for some window to be similar."""
+        found = list(zip((i for i, _ in items), item_shingles(pa.array([t for _, t in items], pa.large_string())), strict=True))
+        self.ids = [i for i, h in found if len(h)]
+        self.hashes = [h for _, h in found if len(h)]
+        sets = [np.unique(h, return_counts=True) for h in self.hashes]
+        flat = np.concatenate([*(u for u, _ in sets), np.zeros(0, np.uint64)])
+        self.all, times = np.unique(flat, return_counts=True)
+        total = len(self.ids)
+        if held is not None:
+            times, total = held[1][np.searchsorted(held[0], self.all)], held[2]
+        self.weight = 1 + np.log((1 + total) / np.maximum(times, 1))
+        self.rare = 1 + math.log(1 + total)
+        #: of each item: places of its shingles in `all`, how often it holds each, and its weight
+        self.own = [(np.searchsorted(self.all, u), c) for u, c in sets]
+        self.total = np.array([(self.weight[u] * c).sum() for u, c in self.own])
+        order = np.argsort(flat, kind="stable")
+        self.holder = np.repeat(np.arange(total if held is None else len(self.ids)), [len(u) for u, _ in sets])[order]
+        self.first = np.searchsorted(flat[order], self.all)
+        self.first = np.append(self.first, len(flat))
+        self.size = np.array([len(h) for h in self.hashes], dtype=np.int64)
+        #: of each size: the least weight of its items
+        self.sizes = np.unique(self.size)
+        self.least = np.array([self.total[self.size == n].min() for n in self.sizes])
+        self.index = HammingIndex(np.array([fingerprint(h) for h in self.hashes], dtype=np.uint64))
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each shingle in `all`, -1 where no item holds it."""
         if not len(self.all):
-            return
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.all, hashes), len(self.all) - 1)
-        row = np.flatnonzero(self.all[at] == hashes)
-        n = self.first[at[row] + 1] - self.first[at[row]]
-        entry = np.repeat(self.first[at[row]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(row) else np.zeros(0, int)
-        doc = np.searchsorted(bounds, np.repeat(row, n), side="right") - 1
-        pair, which = np.unique(doc * len(self.ids) + self.holder[entry], return_inverse=True)
-        held = np.bincount(which, self.cost[entry], minlength=len(pair))
-        for p in pair[held >= (self.threshold - 1e-9) * np.array(self.total)[pair % len(self.ids)]].tolist():
-            yield divmod(p, len(self.ids))
+        return np.where(self.all[at] == hashes, at, -1)
+
+    def similarity(self, item: int, places: np.ndarray) -> float:
+        """Weighted Jaccard of an item and a window's shingles."""
+        own, times = self.own[item]
+        at = np.minimum(np.searchsorted(own, places), len(own) - 1)
+        inside = own[at] == places
+        both = (self.weight[own] * np.minimum(times, np.bincount(at[inside], minlength=len(own)))).sum()
+        window = np.where(places >= 0, self.weight[places], self.rare).sum()
+        return float(both / (self.total[item] + window - both))
+
+    def _fingerprints(self, hashes: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, fingerprints) of the item-sized windows of a text that hold enough known weight. held: running
+        sums of it. A text that is shorter than a size is a window of that size itself."""
+        m, starts, sizes = len(hashes), [], []
+        for n, least in zip(self.sizes.tolist(), self.least.tolist(), strict=True):
+            s = np.arange(max(1, m - n + 1))
+            enough = s[held[np.minimum(s + n, m)] - held[s] >= (self.threshold - 1e-9) * least]
+            starts.append(enough)
+            sizes.append(np.full(len(enough), n))
+        start, size = np.concatenate(starts), np.concatenate(sizes)
+        if not len(start):
+            return start, size, np.zeros(0, np.uint64)
+        low, high = int(start.min()), int(min(m, (start + size).max()))
+        run = np.zeros((high - low + 1, 64), dtype=np.int32)
+        np.cumsum(_bits(hashes[low:high]), axis=0, dtype=np.int32, out=run[1:])
+        prints = np.empty(len(start), dtype=np.uint64)
+        for k in range(0, len(start), 8192):
+            a, b = start[k : k + 8192] - low, np.minimum(start[k : k + 8192] + size[k : k + 8192], m) - low
+            prints[k : k + 8192] = _pack(2 * (run[b] - run[a]) > (b - a)[:, None])
+        return start, size, prints
+
+    def _sharing(self, places: np.ndarray) -> list[int]:
+        """The items of which a text holds enough weight for some window to be similar."""
+        known = places[places >= 0]
+        n = self.first[known + 1] - self.first[known]
+        entry = np.repeat(self.first[known] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        item, which = np.unique(self.holder[entry], return_inverse=True)
+        held = np.bincount(which, np.repeat(self.weight[known], n), minlength=len(item))
+        return item[held >= (self.threshold - 1e-9) * self.total[item]].tolist()
+
+    def _in_text(self, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, float, int]]:
+        """(item, similarity, first shingle) of the items that a text holds, best window each."""
+        m, worth = len(hashes), np.where(places >= 0, self.weight[places], 0.0)
+        held = np.concatenate([[0.0], np.cumsum(worth)])
+        if held[-1] < (self.threshold - 1e-9) * self.least.min():
+            return
+        near: dict[int, set[int]] = {}
+        start, size, prints = self._fingerprints(hashes, held)
+        rows, items = self.index.search(prints)
+        fits = size[rows] == self.size[items]
+        for s, i in zip(start[rows[fits]].tolist(), items[fits].tolist(), strict=True):
+            near.setdefault(i, set()).add(s)
+        for i in self._sharing(places):
+            n, own = int(self.size[i]), self.own[i][0]
+            at = np.minimum(np.searchsorted(own, places), len(own) - 1)
+            most = np.concatenate([[0.0], np.cumsum(np.where(own[at] == places, worth, 0.0))])
+            s = np.arange(max(1, m - n + 1))
+            # what a window shares with the item weighs at most this; the union weighs at least as much as the item
+            s = s[most[np.minimum(s + n, m)] - most[s] >= (self.threshold - 1e-9) * self.total[i]]
+            if len(s):
+                near.setdefault(i, set()).update(s.tolist())
+        for i, starts in near.items():
+            n = int(self.size[i])
+            best, at = max((round(self.similarity(i, places[s : s + n]), 9), -s) for s in starts)
+            if best >= self.threshold:
+                yield i, best, -at
 
     def hits(self, words: W.Words) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the items that the texts hold, best window each."""
         hashes, at = W.shingles(words, SHINGLE)
+        places = self.places(hashes)
         bounds = np.searchsorted(at, words.first)
-        near: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for band, prints, doc, start in self._windows(hashes, bounds):
-            rows, items = band.search(prints)
-            for d, i, s in zip(doc[rows].tolist(), items.tolist(), start[rows].tolist(), strict=True):
-                size, n = int(bounds[d + 1] - bounds[d]), len(self.hashes[i])
-                reach = band.step + abs(n - band.blocks * band.step)
-                low, high = max(0, min(s - reach, size - n)), max(0, min(s + reach, size - n))
-                near[d, i].update(range(low, high + 1))
-        for d, i in self._shared(hashes, bounds):
-            n, size = len(self.hashes[i]), int(bounds[d + 1] - bounds[d])
-            own = hashes[bounds[d] : bounds[d + 1]]
-            at = np.minimum(np.searchsorted(self.known[i], own), len(self.known[i]) - 1)
-            most = np.concatenate([[0.0], np.cumsum(np.where(self.known[i][at] == own, self.price[i][at], 0.0))])
-            s = np.arange(max(0, size - n) + 1)
-            found = s[most[np.minimum(s + n, size)] - most[s] >= (self.threshold - 1e-9) * self.total[i]]
-            if len(found):
-                near[d, i].update(found.tolist())
         out = []
-        for (d, i), starts in near.items():
-            n, low, high = len(self.hashes[i]), min(starts), max(starts)
-            own = hashes[bounds[d] + low : min(bounds[d] + high + n, bounds[d + 1])]
-            # what a window shares with the item weighs at most this; the union weighs at least as much as the item
-            at = np.minimum(np.searchsorted(self.known[i], own), len(self.known[i]) - 1)
-            most = np.concatenate([[0.0], np.cumsum(np.where(self.known[i][at] == own, self.price[i][at], 0.0))])
-            enough = (self.threshold - 1e-9) * self.total[i]
-            likely = [s for s in starts if most[min(s - low + n, len(own))] - most[s - low] >= enough]
-            if not likely:
-                continue
-            texts = own.tolist()
-            best = max((self.similarity(i, texts[s - low : s - low + n]), -s) for s in likely)
-            if best[0] >= self.threshold:
-                held = words.first[d + 1] - words.first[d]
-                out.append((d, i, best[0], -best[1], int(min(n + SHINGLE - 1, held + best[1]))))
+        for d in np.unique(np.searchsorted(bounds, np.flatnonzero(places >= 0), side="right") - 1).tolist():
+            lo, hi = bounds[d], bounds[d + 1]
+            for i, similarity, s in self._in_text(hashes[lo:hi], places[lo:hi]):
+                count = int(words.first[d + 1] - words.first[d])
+                out.append((d, i, similarity, s, min(int(self.size[i]) + SHINGLE - 1, count - s)))
         return out
 
 
-def _slices_of(benchmark: DataFrame, id_col: str, text_col: str, threshold: float) -> Iterator[bytes]:
-    items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t is not null")
-    passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    for k in range(passes):
-        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
-        yield pickle.dumps(Benchmark([(r["i"], r["t"]) for r in part.collect()], threshold))
+def _parts_of(benchmark: DataFrame, id_col: str, text_col: str, threshold: float) -> Iterator[Benchmark]:
+    """The benchmark, or its parts if it has more than ITEMS_AT_ONCE items. A shingle weighs the same in all parts."""
+    items = benchmark.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("t is not null")
+    parts = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    if parts == 1:
+        yield Benchmark([(r["i"], r["t"]) for r in items.collect()], threshold)
+        return
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h in item_shingles(batch.column(0)):
+                if len(h):  # the place -1 counts items
+                    yield pa.RecordBatch.from_pydict({"p": pa.array([-1] + [0] * len(u := np.unique(h))), "h": pa.array(np.append(np.zeros(1, np.uint64), u).view(np.int64))})
+
+    counts = items.select("t").mapInArrow(held, "p bigint, h bigint").groupBy("p", "h").agg(F.count("*").alias("n"))
+    total = counts.filter("p = -1").first()
+    for k in range(parts):
+        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
+        own = part.select("t").mapInArrow(held, "p bigint, h bigint").filter("p = 0").select("h").distinct()
+        table = counts.filter("p = 0").join(own, "h", "left_semi").select("h", "n").toArrow()
+        h, n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        order = np.argsort(h)
+        yield Benchmark([(r["i"], r["t"]) for r in part.collect()], threshold, (h[order], n[order], total["n"] if total else 0))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row for each document and item that it holds: (id_col, item_col, similarity, first_word, n_words).
 
     A document holds an item if a window of the item's size in it has a weighted shingle similarity of at least
-    `threshold` with the item; the best window is returned, the first of equals. Null and word-less texts hold nothing; items without words are ignored; an item of fewer than five words is
+    `threshold` with the item; the best window is returned, the first of equals (to nine places). Null and word-less texts hold nothing; items without words are ignored; an item of fewer than five words is
     held only by a text that is this sequence. Repeated rows of either table give repeated hits. Other columns are
     ignored. docs aren't shuffled; of the benchmark at most ITEMS_AT_ONCE items are on the executors at once."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
+    base = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("t"))
     kind = benchmark.schema[item_col].dataType.simpleString()
     own = docs.schema[id_col].dataType.simpleString()
-    out = None
-    for data in _slices_of(benchmark, item_col, item_text_col, threshold):
-        sent = spark.sparkContext.broadcast(data)
+    of_item, out = to_arrow_type(benchmark.schema[item_col].dataType), None
+    for part in _parts_of(benchmark, item_col, item_text_col, threshold):
+        sent = spark.sparkContext.broadcast(part)  # a worker unpickles it once
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            bench = pickle.loads(sent.value)
+            bench = sent.value
             for batch in batches:
                 for at, words in W.slices(batch.column(1)):
                     found = bench.hits(words) if bench.ids else []
-                    ids = batch.column(0).take(pa.array([at + f[0] for f in found], pa.int64()))
-                    yield pa.RecordBatch.from_pydict({"d": ids, "i": pa.array([bench.ids[f[1]] for f in found]), "s": pa.array([f[2] for f in found], pa.float64()), "w": pa.array([f[3] for f in found], pa.int64()), "n": pa.array([f[4] for f in found], pa.int64())}) if found else pa.RecordBatch.from_pydict({"d": ids, "i": pa.nulls(0, pa.int64()), "s": pa.nulls(0, pa.float64()), "w": pa.nulls(0, pa.int64()), "n": pa.nulls(0, pa.int64())})
+                    columns = list(zip(*found, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array([at + d for d in columns[0]], pa.int64())), pa.array([bench.ids[i] for i in columns[1]], of_item), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
+                        names=["d", "i", "s", "w", "n"],
+                    )
 
-        part = base.mapInArrow(run, f"d {own}, i {kind}, s double, w bigint, n bigint")
-        out = part if out is None else out.unionByName(part)
+        found = base.mapInArrow(run, f"d {own}, i {kind}, s double, w bigint, n bigint")
+        out = found if out is None else out.unionByName(found)
     return out.select(F.col("d").alias(id_col), F.col("i").alias(item_col), F.col("s").alias("similarity"), F.col("w").alias("first_word"), F.col("n").alias("n_words"))
 
 
@@ -257,11 +266,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     out, names, at_col = docs, docs.columns, docs.columns.index(text_col)
-    for data in _slices_of(benchmark, item_col, item_text_col, threshold):
-        sent = spark.sparkContext.broadcast(data)
+    for part in _parts_of(benchmark, item_col, item_text_col, threshold):
+        sent = spark.sparkContext.broadcast(part)  # a worker unpickles it once
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            bench = pickle.loads(sent.value)
+            bench = sent.value
             for batch in batches:
                 for at, words in W.slices(batch.column(at_col)):
                     keep = np.ones(words.docs, dtype=bool)

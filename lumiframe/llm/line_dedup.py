@@ -2,13 +2,16 @@
 
 A line is its set of distinct character shingles after trimming white space and lower-casing A-Z (a shorter line: the
 whole of it). With a character inside changed, lines stay linked from 39 characters on by shingles of 4, from 79 on by
-shingles of 8. One-permutation MinHash fills 64 bins from one hash a shingle; empty bins borrow from the next full one.
-Twelve bands of five bins find a pair of similarity 0.8 with a probability above 0.99, of 0.9 with one above 0.9999.
+shingles of 8. One-permutation MinHash fills 72 bins from one hash a shingle, three times; empty bins borrow from the next
+full one. Each signature gives nine bands of eight bins; the 27 find a pair of similarity 0.8 with a probability above
+0.99, of 0.9 with one above 0.99999. Lines of one language that have nothing else in common are similar by 0.1 to 0.3
+and seldom meet, in a large corpus too. Keys are shuffled a signature at a time, so that a third of them is on disk.
 Lines that share a band are joined by the bucket stars of `linking`, each link verified on the whole shingle sets, which
 are made from the texts of the pairs that the profiles don't rule out."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm import words as W
-from lumiframe.llm.linking import BITS, NEVER, bitmap, distinct_buckets, in_bitmap, link_components, shared_buckets
-from lumiframe.llm.ngram_join import _apart, _profile
+from lumiframe.llm.linking import BITS, bitmap, distinct_buckets, in_bitmap, link_components, shared_members
+from lumiframe.llm.ngram_join import _apart, _linked, _profile, _verify
 from lumiframe.llm.storage import Scratch
 
-SHINGLE, BINS, BANDS, ROWS = 8, 64, 12, 5
+SHINGLE, BINS, HASHES, BANDS, ROWS = 8, 72, 3, 9, 8
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
 _NONE = np.uint64(2**64 - 1)
@@ -73,40 +76,62 @@ class Lines:
         return W.mix(self._span(chars[at], chars[stop]) + (stop - at).astype(np.uint64)), owner
 
 
-def band_keys(hashes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
-    """(lines, BANDS) keys; owner is the line of each hash."""
+def _signature(hashes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
+    """(lines, BINS): the least hash of each bin; an empty bin has that of the next full one, changed by its distance."""
+    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
     sig = np.full(lines * BINS, _NONE)
-    np.minimum.at(sig, owner * BINS + (hashes >> np.uint64(58)).astype(np.int64), hashes & np.uint64(2**58 - 1))
+    np.minimum.at(sig, owner * BINS + bins.astype(np.int64), hashes)
     sig = sig.reshape(lines, BINS)
     gaps = np.flatnonzero((sig == _NONE).any(axis=1))
     if len(gaps):
-        raw, out = sig[gaps], sig[gaps]
-        for step in range(1, BINS):
-            empty = out == _NONE
-            if not empty.any():
-                break
-            other = np.roll(raw, -step, axis=1)
-            take = empty & (other != _NONE)
-            out[take] = other[take] + np.uint64(step) * np.uint64(1 << 58)
-        sig[gaps] = out
-    parts = sig[:, : BANDS * ROWS].reshape(lines, BANDS, ROWS)
-    return W.mix((parts * W.PLACE[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * W.PLACE[7])
+        raw, place = sig[gaps], np.arange(2 * BINS, dtype=np.int16)
+        full = np.where(np.tile(raw != _NONE, 2), place, np.int16(2 * BINS))
+        following = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :BINS].astype(np.int64)
+        sig[gaps] = np.take_along_axis(raw, following % BINS, axis=1) + (following - place[:BINS]).astype(np.uint64) * W.PLACE[18]
+    return sig
+
+
+def band_keys(hashes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
+    """(lines, HASHES * BANDS) keys; owner is the line of each hash. Each signature gives BANDS of them."""
+    out = np.zeros((lines, HASHES * BANDS), dtype=np.uint64)
+    for j in range(HASHES):
+        parts = _signature(hashes * W.PLACE[20 + j], owner, lines)[:, : BANDS * ROWS].reshape(lines, BANDS, ROWS)
+        own = np.arange(j * BANDS, (j + 1) * BANDS)
+        out[:, own] = W.mix((parts * W.PLACE[:ROWS]).sum(axis=2, dtype=np.uint64) + own.astype(np.uint64) * W.PLACE[19])
+    return out
+
+
+#: Lines whose hashes a task remembers, at most.
+REMEMBERED = 1_000_000
 
 
 def _signed(size: int):
+    """The real lines of documents (doc, line, node); bands where the task hasn't met the line before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for at, words in W.slices(batch.column(1)):
                 lines = Lines(words)
                 real = np.flatnonzero(lines.real)
+                unique, once = np.unique(lines.hash[real], return_index=True)
+                fresh = np.sort(once[[h not in met for h in unique.tolist()]]) if len(once) else once
+                if len(met) >= REMEMBERED:
+                    met.clear()
+                met.update(unique.tolist())
+                lines.real = np.zeros(len(lines.real), dtype=bool)
+                lines.real[real[fresh]] = True
                 hashes, owner = lines.shingles(size)
-                keys = band_keys(hashes, np.searchsorted(real, owner), len(real))
+                keys = band_keys(hashes, np.searchsorted(real[fresh], owner), len(fresh))
+                has = np.zeros(len(real), dtype=bool)
+                has[fresh] = True
+                cuts = np.concatenate([[0], np.cumsum(has * HASHES * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at + lines.doc[real])),
                         pa.array(lines.place[real].astype(np.int64)),
                         pa.array(lines.hash[real].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel().view(np.int64))),
                     ],
                     names=["doc", "line", "node", "bands"],
                 )
@@ -152,33 +177,6 @@ def _sets(size: int):
     return run
 
 
-def _possible(num: int, den: int):
-    """The pairs that their sizes and profiles don't rule out."""
-    apart = _apart(num, den)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = (batch.column(i).to_numpy() for i in (2, 4))
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (3, 5))
-            keep = pa.array(apart(n, p, m, q) < NEVER)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
-
-    return run
-
-
-def _linked(size: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (_line_sets(batch.column(i), size) for i in (2, 3))
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
-            keep = pa.array([i * den >= num * (len(x) + len(y) - i) for i, x, y in zip(both, left, right, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
-
-    return run
-
-
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, scratch: Scratch | None = None, shingle: int = SHINGLE) -> DataFrame:
     """One row per line that isn't blank: (id_col, line from 0, component, keep). keep holds for the first line of each
     component of linked lines, by id and then place. Equal lines are linked; two others are if their sets of
@@ -189,26 +187,34 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line-dedup")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    lines = scratch.save(base.mapInArrow(_signed(shingle), "doc bigint, line bigint, node bigint, bands array<bigint>"), "lines")
-    members = distinct_buckets(shared_buckets(lines.select("node", F.explode("bands").alias("key")), scratch).select("key", "node").distinct(), scratch)
+    signed = scratch.save(base.mapInArrow(_signed(shingle), "doc bigint, line bigint, node bigint, bands array<bigint>"), "signed")
+    parts = []
+    for j in range(HASHES):
+        parts.append(shared_members(signed.select(F.explode(F.slice("bands", j * BANDS + 1, BANDS)).alias("key"), "node"), scratch))
+        scratch.release()
+    shared = functools.reduce(DataFrame.unionByName, parts)
+    lines = scratch.save(signed.select("doc", "line", "node"), "lines")
+    scratch.drop(signed)
     scratch.release()
+    members = distinct_buckets(shared, scratch)
+    scratch.drop(*parts)
 
     # the bitmap spares the shuffle of lines that share no band
     wanted = spark.sparkContext.broadcast(bitmap(members, F.pmod("node", F.lit(BITS)).cast("bigint")))
     texts = base.select("text").mapInArrow(_texts(wanted), "node bigint, text string").dropDuplicates(["node"])
     own = scratch.save(texts.mapInArrow(_sets(shingle), "node bigint, n bigint, profile binary, text string"), "own")
+    wanted.destroy()
+
+    def load(column: pa.Array) -> list[np.ndarray]:
+        return _line_sets(column, shingle)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
-        right = own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "pa", "nb", "pb")
-        maybe = scratch.save(both.mapInArrow(_possible(num, den), "a bigint, b bigint"), "maybe")
-        scratch.release()
-        texts = maybe.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return texts.select("a", "b", "ta", "tb").mapInArrow(_linked(shingle, num, den), "a bigint, b bigint")
+        side = lambda end: own.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
+        texts = pairs.join(side("b"), "b").join(side("a"), "a")
+        return texts.select("a", "b", "ta", "tb").mapInArrow(_verify(num, den, load), "a bigint, b bigint")
 
     none = spark.createDataFrame([], "a bigint, b bigint")
-    components = link_components(members, own.select("node", "n", "profile"), _apart(num, den), verify, scratch, none)
+    components = link_components(members, own.select("node", "n", "profile"), own.select("node", F.col("text").alias("content")), _apart(num, den), load, _linked(num, den), verify, scratch, none)
     scratch.drop(members, own)
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "line").alias("place")
     first = lines.select("node", place).groupBy("node").agg(F.min("place").alias("place"))

@@ -1,11 +1,10 @@
 """Components of a similarity graph from buckets of candidate nodes, without all pairs of a bucket.
 
 Two linked nodes share a bucket. In a bucket every node is first compared with one pivot only, so a bucket of copies
-costs as many comparisons as it has nodes. What the stars have joined into one component needs no further comparison.
+costs as many comparisons as it has nodes; profiles rule most of the others out. What the stars have joined into one component needs no further comparison.
 In buckets that still hold several components the profiles of nodes are compared: a profile bounds from above how
-similar two nodes can be. First each node is verified with the nearest node of another component only, which joins most of a
-group of near copies; then all pairs across components that may be linked become rows and are verified. No link
-between different components is lost."""
+similar two nodes can be. Pairs across components that this doesn't rule out are verified on the spot, as long as their
+components are apart. No link between different components is lost, and pairs never become rows."""
 
 from __future__ import annotations
 
@@ -22,26 +21,55 @@ from lumiframe.llm.storage import Scratch
 
 #: A distance at which no link is possible.
 NEVER = np.int32(2**31 - 1)
-#: Nodes of one part of a bucket; larger buckets are compared part by part.
-PART = 1024
+#: Nodes, and elements of their sets, of one part of a bucket; larger buckets are compared part by part.
+PART, PART_ELEMENTS = 1024, 1 << 21
 
 
-def shared_buckets(keyed: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows (key, node) whose key has two or more different nodes. The counting side aggregates map-side and the
-    join is an equi-join that AQE can split, so one key may hold any share of the rows. With scratch the shared keys are
-    written first, so that the shuffles of counting and joining needn't be on disk at once."""
-    bounds = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    if scratch is not None:
-        bounds = scratch.save(bounds, "shared")
-        scratch.release()
-    return keyed.join(bounds, "key")
+#: One node in so many shows which keys are hot; hot is a key that HOT rows of those nodes hold, at most HOT_KEYS of them.
+SHOWN, HOT, HOT_KEYS = 64, 64, 4096
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) in order, the distinct ones whose key has another node. Only the last row is held back."""
+    key, node, joined = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            key, node = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((key, node)))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            key, node = key[new], node[new]
+        same = key[1:] == key[:-1]
+        before = np.concatenate([[joined], same])[: len(key)]
+        after = np.append(same, False)[: len(key)]
+        done = len(key) if batch is None else len(key) - 1
+        keep = np.flatnonzero((before | after)[:done])
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+        if batch is not None:
+            key, node, joined = key[done:], node[done:], bool(before[done])
+
+
+def shared_members(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct rows (key, node; both bigint) whose key has two or more nodes: one shuffle by key, then one look at the
+    sorted rows, which holds a single row back. A key with a large share of the rows would make one task of that; the
+    hottest, by a sample of the nodes, pass without that shuffle (one that has a single node after all does no harm)."""
+    seen = keyed.filter(F.pmod(F.xxhash64("node"), F.lit(SHOWN)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
+    hot = [r["key"] for r in seen.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()]
+    cold = keyed
+    if hot:
+        keys = F.broadcast(keyed.sparkSession.createDataFrame([(k,) for k in hot], "key bigint"))
+        cold = keyed.join(keys, "key", "left_anti").select("key", "node")
+    out = cold.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_repeated, "key bigint, node bigint")
+    if hot:
+        out = out.unionByName(keyed.join(keys, "key", "left_semi").select("key", "node").distinct())
+    return scratch.save(out, "shared")
 
 
 def distinct_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
     """members (key, node: distinct) without the buckets that hold the same nodes as another: of those the least key
     stays. Near copies share most of their keys, so this leaves a few buckets of each group. Equal buckets are told by
     their size and two 64-bit sums of hashes of their nodes."""
-    members = scratch.save(members, "all-members")
     sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
     keys = members.groupBy("key").agg(F.count("*").alias("n"), *sums).groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key")
     out = scratch.save(members.join(keys, "key"), "members")
@@ -70,30 +98,30 @@ def bitmap(ids: DataFrame, at: Column) -> np.ndarray:
 def exclude(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id is among ids (left anti join; a null id stays). The rows that the bitmap rules out
     pass without a shuffle; only the others, mostly the rows to drop, meet ids in a join. The bitmap joins as at most
-    BITS / 64 rows."""
-    at = slot(id_col)
-    words = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("_w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
-    words = words.groupBy("_w").agg(F.bit_or("b").alias("_b"))
-    marked = docs.withColumn("_at", at).join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_w"), "left")
-    maybe = F.coalesce(F.expr("(shiftrightunsigned(_b, cast(_at % 64 as int)) & 1L) = 1"), F.lit(False))
-    clear = marked.filter(~maybe).select(*docs.columns)
-    doubt = marked.filter(maybe).select(*docs.columns).join(ids.select(F.col(id_col)).distinct(), id_col, "left_anti")
-    return clear.unionByName(doubt.select(*docs.columns))
+    BITS / 64 rows. docs' columns travel as one struct, so their names can't clash."""
+    words = ids.select(slot(id_col).alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col(f"`{id_col}`").alias("id"), slot(f"`{id_col}`").alias("at"))
+    marked = rows.join(F.broadcast(words), F.shiftright("at", 6) == F.col("w"), "left")
+    maybe = F.coalesce(F.expr("(shiftrightunsigned(b, cast(at % 64 as int)) & 1L) = 1"), F.lit(False))
+    clear = marked.filter(~maybe).select("kept")
+    doubt = marked.filter(maybe).select("kept", "id").join(ids.select(F.col(f"`{id_col}`").alias("id")).distinct(), "id", "left_anti")
+    return clear.unionByName(doubt.select("kept")).select(*[F.col("kept")[c].alias(c) for c in docs.columns])
 
 
 def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _open_pairs(left: DataFrame, profiles: DataFrame, apart: Callable, nearest: bool) -> DataFrame:
-    """The pairs of a bucket's nodes in different components whose profiles allow a link; with `nearest` only each
-    node's pair of the least distance, so at most one a node."""
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    own = left.join(sizes, "key").join(profiles, "node")
+def _open_links(left: DataFrame, profiles: DataFrame, content: DataFrame, apart: Callable, load: Callable, linked: Callable) -> DataFrame:
+    """Links (a, b) of a bucket's nodes in different components, verified where the nodes meet. Once a link has joined two
+    components in a task, their other pairs are passed over there: what comes out is never more than the nodes that went in."""
+    sizes = left.join(profiles.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_ELEMENTS)).cast("int").alias("parts"))
+    own = left.join(sizes, "key").join(profiles, "node").join(content, "node")
     own = own.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # a part meets itself and each other part once
     other = F.sequence(F.lit(0), F.col("parts") - 1)
-    own = own.withColumn("o", F.explode(other)).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), F.col("p"), "node", "component", "n", "profile")
+    own = own.withColumn("o", F.explode(other)).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), F.col("p"), "node", "component", "n", "profile", "content")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None  # the last bucket part of what came so far may go on
@@ -111,7 +139,16 @@ def _open_pairs(left: DataFrame, profiles: DataFrame, apart: Callable, nearest:
             ends = np.append(starts[starts < done], done)
             stop = np.repeat(ends[1:], np.diff(ends))
             prof = np.frombuffer(b"".join(now.column("profile").slice(0, done).to_pylist()), dtype=np.uint8).reshape(done, -1)
-            near, partner = np.full(done, NEVER), np.zeros(done, dtype=np.int64)
+            sets = load(now.column("content").slice(0, done).combine_chunks())
+            top: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := top.get(c, c)) != c:
+                    top[c] = top.get(up, up)
+                    c = up
+                return c
+
+            found: list[tuple[int, int]] = []
             for step in range(1, int(np.diff(ends).max())):
                 x = np.flatnonzero(np.arange(step, done + step) < stop)
                 y = x + step
@@ -119,42 +156,59 @@ def _open_pairs(left: DataFrame, profiles: DataFrame, apart: Callable, nearest:
                 x, y = x[ok], y[ok]
                 for at in range(0, len(x), 1 << 14):
                     a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                    d = apart(n[a], prof[a], n[b], prof[b])
-                    if nearest:  # a row is at most once in a and at most once in b
-                        for own_, other in ((a, b), (b, a)):
-                            less = d < near[own_]
-                            near[own_[less]], partner[own_[less]] = d[less], other[less]
-                    elif (d < NEVER).any():
-                        a, b = node[a[d < NEVER]], node[b[d < NEVER]]
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-            if nearest:
-                x = np.flatnonzero(near < NEVER)
-                a, b = node[x], node[partner[x]]
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                    near = apart(n[a], prof[a], n[b], prof[b]) < NEVER
+                    for u, v in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                        r, t = root(int(comp[u])), root(int(comp[v]))
+                        if r != t and linked(sets[u], sets[v]):
+                            top[max(r, t)] = min(r, t)
+                            found.append((int(node[u]), int(node[v])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint")
 
 
-def link_components(members: DataFrame, profiles: DataFrame, apart: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, profiles: DataFrame, apart: Callable) -> DataFrame:
+    """(a, b, far) of the pairs that their profiles don't rule out; far is the lower bound of how far they lie apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(i).to_numpy() for i in (2, 4))
+                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (3, 5))
+                far = apart(n, p, m, q)
+                keep = pa.array(far < NEVER)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(keep) for i in (0, 1)), pa.array(far.astype(np.int32)).filter(keep)], names=["a", "b", "far"])
+
+    side = lambda end: profiles.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("profile").alias(f"p{end}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a bigint, b bigint, far int")
+
+
+def link_components(members: DataFrame, profiles: DataFrame, content: DataFrame, apart: Callable, load: Callable, linked: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame) -> DataFrame:
     """(node, component) of the linked nodes. members: (key, node), distinct and saved; profiles: (node, n, profile);
+    content: (node, content), of which load makes a list of sets and linked(set, set) tells whether two are linked;
     apart(n, profiles, n of the others, their profiles) is a lower bound of how far pairs of nodes lie apart, NEVER where it
     rules out a link; verify takes pairs (a, b) and returns those that are linked; known: links (a, b) that need no
-    check."""
+    check.
+
+    Of the stars, each node's nearest pivot is verified first; the node's other stars only where that hasn't joined the
+    two ends already. Then buckets that still hold several components are compared in parts."""
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
     pivot = members.groupBy("key").agg(F.min(order)["pivot"].alias("pivot"))
-    stars = members.join(pivot, "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    tested = scratch.save(stars.distinct(), "pairs")
-    components = _merge(None, verify(tested), known, scratch)
-    left = members
-    for nearest in (True, True, False):
-        left, size, cross = _still_open(left, components, scratch)
-        if not size:
-            break
-        if nearest and cross <= 2 * size:
-            continue
-        pairs = scratch.save(_open_pairs(left, profiles, apart, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        components = _merge(components, verify(pairs), None, scratch)
-        tested = tested.unionByName(pairs)
+    stars = members.join(pivot, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    stars = scratch.save(stars.distinct(), "stars")
+    near = scratch.save(_possible(stars, profiles, apart), "near")
+    best = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
+    joined = scratch.save(verify(best), "linked")
+    # the other stars of a node whose two ends have the same pivot need no look; one hop tells most of them
+    label = lambda end: joined.select(F.col("b").alias(end), F.col("a").alias(f"l{end}"))
+    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").distinct()
+    components = _merge(None, joined.unionByName(verify(rest)), known, scratch)
+    left, size = _still_open(members, components, scratch)
+    if size:
+        components = _merge(components, _open_links(left, profiles, content, apart, load, linked), None, scratch)
     return components
 
 
@@ -174,11 +228,9 @@ def _merge(components: DataFrame | None, found: DataFrame, known: DataFrame | No
     return scratch.save(moved.unionByName(fresh.select("node", "component")), "components")
 
 
-def _still_open(left: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, float]:
-    """The buckets that hold several components, their rows, and the pairs of rows across components."""
+def _still_open(left: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The buckets that hold several components, and their rows."""
     named = left.select("key", "node").join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     named = scratch.save(named, "named")
-    each = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    each = scratch.save(each.filter("n * n > own"), "open")
-    size, cross = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
-    return named.join(each.select("key"), "key"), size, cross
+    several = scratch.save(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n"), "open")
+    return named.join(several.select("key"), "key"), several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -42,19 +42,25 @@ def fill(amount: float, children: dict, capacity: dict) -> dict:
 
 def budgets(tokens: dict[tuple, int], total: float, weights: list[dict], max_epochs: int) -> dict[tuple, int]:
     """Each leaf's budget. tokens: of the leaves (paths of one length); weights: for each level a dict from a node's
-    name to its weight among its siblings (1 where it has none)."""
-
-    def deal(prefix: tuple, amount: float) -> dict[tuple, int]:
-        depth = len(prefix)
-        own = {p: t for p, t in tokens.items() if p[:depth] == prefix}
-        if own and depth == len(next(iter(own))):
-            return {prefix: int(amount)}
-        names = sorted({p[depth] for p in own}, key=lambda x: (x is None, x))
-        capacity = {c: max_epochs * sum(t for p, t in own.items() if p[depth] == c) for c in names}
-        shares = fill(amount, {c: float(weights[depth].get(c, 1.0)) for c in names}, capacity)
-        return {k: v for c in names for k, v in deal((*prefix, c), shares[c]).items()}
-
-    return deal((), total) if tokens else {}
+    name to its weight among its siblings (1 where it has none). One pass up for capacities, one down for shares."""
+    capacity: dict[tuple, int] = {}
+    children: dict[tuple, set] = {}
+    for path, t in tokens.items():
+        for depth in range(len(path) + 1):
+            capacity[path[:depth]] = capacity.get(path[:depth], 0) + max_epochs * t
+            if depth:
+                children.setdefault(path[: depth - 1], set()).add(path[depth - 1])
+    out: dict[tuple, int] = {}
+    waiting = [((), total)] if tokens else []
+    while waiting:
+        node, amount = waiting.pop()
+        if node not in children:
+            out[node] = int(amount)
+            continue
+        names = sorted(children[node], key=lambda x: (x is None, x))
+        shares = fill(amount, {c: float(weights[len(node)].get(c, 1.0)) for c in names}, {c: capacity[(*node, c)] for c in names})
+        waiting += [((*node, c), shares[c]) for c in names]
+    return out
 
 
 def count_tokens(text: Column) -> Column:
@@ -74,16 +80,18 @@ def mix_sources(
     replace input columns of these names).
 
     The budget is `fraction` of the tokens of all rows. A null domain, language or source is a node of its own; a null
-    text has no tokens and is taken with its neighbours in the order. Rows of one id in a leaf are taken together, and
-    have one place in the order. An empty table gives no rows. Budgets are dealt on the driver from one row a leaf (never
-    from documents)."""
+    text has no tokens and is taken with its neighbours in the order; a leaf that holds no tokens at all has no budget and
+    gives no rows. Rows of one id in a leaf (or of no id) are taken together, and have one place in the order. An empty
+    table gives no rows. Budgets are dealt on the driver from one row a leaf: domains times languages times sources, which
+    grow with the sources but never with the documents."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
-    base = docs.drop("epoch", "tokens", "domain").withColumns({"tokens": count_tokens(F.col(text_col)), "domain": domain})
-    names = {"domain": "domain", "language": language_col, "source": source_col}
-    leaf = [F.col(names[n]).alias(f"_{n}") for n in LEVELS]
+    # the rows' own columns travel as one struct, so no name of theirs meets one of this module
+    carried = [c for c in docs.columns if c not in ("epoch", "tokens", "domain")]
+    own = [domain, F.col(f"`{language_col}`"), F.col(f"`{source_col}`")]
     keys = [f"_{n}" for n in LEVELS]
-    narrow = scratch.save(base.select(*leaf, F.col(id_col).alias("_id"), "tokens"), "tokens")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("kept"), *[c.alias(k) for c, k in zip(own, keys, strict=True)], F.col(f"`{id_col}`").alias("_id"), count_tokens(F.col(f"`{text_col}`")).alias("tokens"))
+    narrow = scratch.save(base.select(*keys, "_id", "tokens"), "tokens")
     totals = {tuple(r[k] for k in keys): r["t"] for r in narrow.groupBy(*keys).agg(F.sum("tokens").alias("t")).collect()}
     plan = budgets(totals, fraction * sum(totals.values()), weights, max_epochs)
 
@@ -108,11 +116,11 @@ def mix_sources(
     full = plans.join(ends, same(plans, ends), "left").select(*[plans[k] for k in keys], "_whole", "_rest", "_cut", "_cutbin", "_lastk", "_lastid")
     full = scratch.save(full.coalesce(1), "plan")
 
-    joined = base.join(small(full), [F.col(names[n]).eqNullSafe(full[f"_{n}"]) for n in LEVELS])
-    k = _order(seed, F.col("_whole"), id_col)
+    joined = base.join(small(full), same(base, full)).select("kept", base["_domain"], "_id", "tokens", "_whole", "_rest", "_cut", "_cutbin", "_lastk", "_lastid")
+    k = _order(seed, F.col("_whole"), "_id")
     before = (F.shiftright(k, 52) < F.col("_cutbin")) | (k < F.col("_lastk"))
-    before = before | ((k == F.col("_lastk")) & (F.col(id_col).eqNullSafe(F.col("_lastid")) | (F.col(id_col) < F.col("_lastid"))))
+    before = before | ((k == F.col("_lastk")) & (F.col("_id").eqNullSafe(F.col("_lastid")) | (F.col("_id") < F.col("_lastid"))))
     partial = (F.col("_rest") > 0) & (F.col("_cut").isNull() | F.coalesce(before, F.lit(False)))
     times = F.col("_whole") + partial.cast("bigint")
     out = joined.withColumn("_times", times).filter("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)))
-    return out.select(*[c for c in base.columns], "epoch")
+    return out.select(*[F.col("kept")[c].alias(c) for c in carried], "tokens", F.col("_domain").alias("domain"), "epoch")

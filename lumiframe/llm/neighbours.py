@@ -4,13 +4,13 @@ exact reranking of the leaves it reaches.
 Equal vectors are indexed once, with their least k + 1 ids, so a vector that a third of the rows share is one entry.
 The trees' planes are fitted on a bounded sample; every entry is then sent to its leaf in every tree. A query's queue
 holds the branches it didn't take, in all trees, by the sum of squared distances to the planes that it would cross; it
-opens leaves until their entries number `search_share` of all. Queries meet the leaves they opened by an equi-join on
-(tree, leaf, part); a leaf of more than PART entries is cut into parts, so no task holds more than a part at once."""
+opens leaves until they hold effort * entries ** POWER entries: fewer of all, the more there are. Queries meet the leaves
+they opened by an equi-join on (tree, leaf, part of its entries, part of its queries); a part has at most PART of either,
+so no task holds more at once, however many queries open a leaf."""
 
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lumiframe.llm.storage import Scratch
 
 SAMPLE, TREES, LEAF, PART = 20_000, 12, 192, 4096
+#: Of the rule for how many entries a query looks at; measured on vectors without structure, see the README.
+EFFORT, POWER = 12.0, 0.71
 
 
 class Forest:
@@ -95,16 +97,15 @@ def _valid(vector: Column, dim: int | None) -> Column:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, search_share: float = 1.0, search_least: int = 8192, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 7, scratch: Scratch | None = None
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, effort: float = EFFORT, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 7, scratch: Scratch | None = None
 ) -> DataFrame:
     """(query_id, rank from 1, id_col, score): the k nearest rows found of each row where is_query holds, without itself.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. Rows whose vector is
     null, empty, zero, holds a null or non-finite component, or has another length than most rows take no part, nor do
-    null ids. A repeated id is one row. With fewer than k candidates all are returned; without any, none. search_share is
-    the number of leaf entries a query opens in all trees over the number of entries (trees overlap, so it may exceed 1);
-    it opens search_least of them in any case.
-    On vectors without any structure near all of them must be looked at for a high recall; see the README."""
+    null ids. A repeated id is one row, with the least of its vectors, and a query if any of its rows is one. With fewer
+    than k candidates all are returned; without any, none. effort says how many leaf entries a query opens (trees overlap, so
+    an entry may be opened twice)."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "neighbours")
     base = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(F.col("id").isNotNull() & _valid(F.col("v"), None))
@@ -113,7 +114,7 @@ def nearest_neighbours(
     if lengths is None:
         return spark.createDataFrame([], schema)
     dim = lengths["n"]
-    base = scratch.save(base.filter(F.size("v") == dim).dropDuplicates(["id"]), "rows")
+    base = scratch.save(base.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "rows")
 
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = base.withColumn("place", place).filter(f"place <= {k + 1}").groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -122,10 +123,10 @@ def nearest_neighbours(
     taken = entries.select(F.col("v")).orderBy(F.xxhash64("v"), F.col("v")).limit(sample).toArrow()
     flat = np.asarray(taken.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
     forest = Forest(flat, trees, max(8, leaf * len(flat) // total), seed)
-    sent = spark.sparkContext.broadcast(pickle.dumps(forest))
+    sent = spark.sparkContext.broadcast(forest)
 
     def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(sent.value)
+        own = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
                 part = batch.slice(at, PART)
@@ -141,10 +142,10 @@ def nearest_neighbours(
     for r in in_leaf.groupBy("tree", "leaf").count().collect():  # trees * leaves rows, bounded by the sample
         sizes[r["tree"]][r["leaf"]] = r["count"]
     counts = spark.sparkContext.broadcast(sizes)
-    budget = max(search_share * total, search_least)
+    budget = effort * total**POWER
 
     def open_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = pickle.loads(sent.value), counts.value
+        own, held = sent.value, counts.value
         for batch in batches:
             for i in range(batch.num_rows):
                 v = batch.column(1).slice(i, 1)
@@ -154,10 +155,15 @@ def nearest_neighbours(
                 cols = np.array(rows, dtype=np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], n), v.take(pa.array(np.zeros(n, np.int64))), *(pa.array(cols[:, j]) for j in range(3))], names=["query_id", "q", "tree", "leaf", "part"])
 
-    opened = base.filter("q").select("id", "v").mapInArrow(open_leaves, f"query_id bigint, q {kind}, tree bigint, leaf bigint, part bigint")
-    flat_sizes = F.create_map(*[x for t, s in enumerate(sizes) for x in (F.lit(t), F.array(*[F.lit(-(-int(n) // PART) or 1) for n in s]))]) if any((s > PART).any() for s in sizes) else None
-    parts = F.lit(1) if flat_sizes is None else F.element_at(flat_sizes[F.col("tree")], (F.col("leaf") + 1).cast("int"))
-    side = in_leaf.withColumn("part", F.pmod(F.xxhash64("ids"), parts)).select("v", "ids", F.col("tree").cast("bigint").alias("tree"), "leaf", "part")
+    opened = scratch.save(base.filter("q").select("id", "v").mapInArrow(open_leaves, f"query_id bigint, q {kind}, tree bigint, leaf bigint, part bigint"), "opened")
+    # at most trees * leaves rows, bounded by the sample: parts of a leaf's entries and of its queries
+    seekers = {(r["tree"], r["leaf"]): r["count"] for r in opened.filter("part = 0").groupBy("tree", "leaf").count().collect()}
+    leaves = [(t, x, max(1, -(-int(n) // PART)), -(-seekers[t, x] // PART)) for t, s in enumerate(sizes) for x, n in enumerate(s) if (t, x) in seekers]
+    plan = F.broadcast(spark.createDataFrame(leaves, "tree bigint, leaf bigint, parts int, turns int"))
+    opened = opened.join(plan, ["tree", "leaf"]).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int"))
+    side = in_leaf.select("v", "ids", F.col("tree").cast("bigint").alias("tree"), "leaf").join(plan, ["tree", "leaf"])
+    side = side.withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("bigint")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    side, opened = side.select("v", "ids", "tree", "leaf", "part", "turn"), opened.select("query_id", "q", "tree", "leaf", "part", "turn")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -173,7 +179,7 @@ def nearest_neighbours(
                 out.append((int(queries[i]), [s for s, _ in near], [n for _, n in near]))
         return pd.DataFrame(out, columns=["query_id", "s", "n"])
 
-    keys = ["tree", "leaf", "part"]
+    keys = ["tree", "leaf", "part", "turn"]
     found = side.groupBy(*keys).cogroup(opened.groupBy(*keys)).applyInPandas(rerank, "query_id bigint, s array<double>, n array<bigint>")
     near = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("s", "n"))).alias("near"))
     best = near.select("query_id", F.posexplode(F.slice(F.array_sort(F.array_distinct("near")), 1, k)).alias("p", "b"))

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm import words as W
-from lumiframe.llm.linking import NEVER, bitmap, distinct_buckets, in_bitmap, link_components, shared_buckets, slot
+from lumiframe.llm.linking import NEVER, bitmap, distinct_buckets, in_bitmap, link_components, shared_members, slot
 from lumiframe.llm.storage import Scratch
 
 BAND_RATIO = 1.5
 #: Ranges of a set's profile.
 PROFILE = 128
+#: Sets whose fingerprints a task remembers, at most.
+REMEMBERED = 500_000
 _SEG, _ELEM, _KEY, _RESCUE = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x428A2F98D728AE22, 0x3956C25BF348B538))
 
 
@@ -115,11 +117,12 @@ def signatures(own: np.ndarray, lows: list[int], num: int, den: int) -> np.ndarr
 
 
 def _index(shingle: int, num: int, den: int, wanted=None):
-    """Rows of _SCHEMA for rows (node, text): with the index keys of the sets or, for rows (node, text, slot) whose slot
-    is in the bitmap `wanted`, with the sets themselves."""
+    """Rows of _SCHEMA for rows (node, text): with the index keys of the sets that the task hasn't met before or, for rows
+    (node, text, slot) whose slot is in the bitmap `wanted`, with the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows, keyed = bands(num, den), wanted is None
+        met: set[int] = set()
         for batch in batches:
             if not keyed:
                 batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy())))
@@ -130,12 +133,16 @@ def _index(shingle: int, num: int, den: int, wanted=None):
                     f1.append(int(W.mix(own).sum()))
                     f2.append(int(W.mix(own ^ _ELEM).sum()))
                     profiles.append(_profile(own) if keyed else None)
-                    if keyed:
-                        keys.append(signatures(own, lows, num, den))
-                        cuts.append(cuts[-1] + len(keys[-1]))
-                    else:
+                    if not keyed:
                         keys.append(own)
-                        cuts.append(cuts[-1] + len(own))
+                    elif (mark := (f1[-1] << 64) | f2[-1]) in met:
+                        keys.append(own[:0])
+                    else:
+                        keys.append(signatures(own, lows, num, den))
+                        if len(met) >= REMEMBERED:
+                            met.clear()
+                        met.add(mark)
+                    cuts.append(cuts[-1] + len(keys[-1]))
                 flat = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -174,18 +181,30 @@ def _apart(num: int, den: int):
     return test
 
 
-def _verify(num: int, den: int):
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _linked(num: int, den: int):
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        """Whether two sets (each of distinct values) are similar enough."""
+        both = np.sort(np.concatenate([x, y]))
+        inter = int((both[1:] == both[:-1]).sum())
+        return inter * den >= num * (len(both) - inter)
+
+    return test
+
+
+def _verify(num: int, den: int, load=_lists):
+    """Of rows (a, b, content of a, content of b), the pairs that are linked; load makes a list of sets of contents."""
+    test = _linked(num, den)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
-            at_a, at_b = (np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(i)).to_numpy(zero_copy_only=False))]).astype(np.int64) for i in (2, 3))
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x, y = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
-                both = np.sort(np.concatenate([x, y]))
-                inter = int((both[1:] == both[:-1]).sum())
-                keep[i] = inter * den >= num * (len(both) - inter)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+            keep = pa.array([test(x, y) for x, y in zip(load(batch.column(2)), load(batch.column(3)), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -200,7 +219,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Other columns are ignored. The ids must be integers.
 
     Ids with equal sets meet by a fingerprint of the set (128 bits and its size); only one of them is compared
-    with other sets. Shuffled are index keys (16 bytes, about a quarter as many as shingles) and, for documents that
+    with other sets, and a task gives the keys of equal sets once. Shuffled are index keys (16 bytes, about a quarter as many as shingles) and, for documents that
     share a key with another, their texts and sets."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
@@ -212,21 +231,22 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     first = narrow.groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), F.max("node").alias("hi")).filter("rep < hi").select("n", "f1", "f2", "rep")
     same = scratch.save(narrow.join(first, ["n", "f1", "f2"]).filter("node <> rep").select("node", "rep").distinct(), "same")
 
-    met = scratch.save(shared_buckets(full.select("node", F.explode("keys").alias("key"))), "met")
-    members = distinct_buckets(met.join(same, "node", "left").select("key", F.coalesce("rep", "node").alias("node")).distinct(), scratch)
+    met = shared_members(full.select(F.explode("keys").alias("key"), "node"), scratch)
+    named = scratch.save(met.join(same, "node", "left").select("key", F.coalesce("rep", "node").alias("node")).distinct(), "members-of-sets")
     scratch.drop(met)
+    members = distinct_buckets(named, scratch)
 
     wanted = spark.sparkContext.broadcast(bitmap(members, slot("node")))
     own = texts.filter("node is not null").select("node", "text", slot("node").alias("slot")).mapInArrow(_index(shingle, num, den, wanted), _SCHEMA)
-    own = scratch.save(own.select("node", "n", "keys"), "own")
+    own = scratch.save(own.select("node", "keys"), "own")
+    wanted.destroy()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-        right = own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-        both = pairs.join(left, "a").join(right, "b").filter(F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}"))
+        side = lambda end: own.select(F.col("node").alias(end), F.col("keys").alias(f"k{end}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a")
         return both.select("a", "b", "ka", "kb").mapInArrow(_verify(num, den), "a bigint, b bigint")
 
     profiles = full.select("node", "n", "profile")
-    components = link_components(members, profiles, _apart(num, den), verify, scratch, same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    components = link_components(members, profiles, own.select("node", F.col("keys").alias("content")), _apart(num, den), _lists, _linked(num, den), verify, scratch, same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
     scratch.drop(members, own)
     return sets.select("node", "n").join(components, "node", "left").select(F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

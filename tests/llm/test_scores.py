@@ -246,10 +246,12 @@ def test_budgets():
 
 def test_mixing(spark):
     df = docs_of(spark).select("doc_id", "text", "lang", "source").withColumn("tokens", F.lit("clash"))
+    clash = {c: F.lit(c) for c in ("_id", "_rest", "_domain", "kept", "_k", "_whole")}
     df = df.unionByName(spark.createDataFrame([(9001, None, None, None, ""), (9002, "", "en", "src0", ""), (None, "a b", "en", "src0", "")], df.schema))
     domain = F.when(F.col("source").rlike("[02468]$"), "even").otherwise("odd")
     weights = [{"even": 3.0}, {"en": 2.0}, {"src0": 5.0}]
-    out = mix_sources(df, domain, weights, fraction=0.7, max_epochs=2, seed=1)
+    out = mix_sources(df.withColumns(clash), domain, weights, fraction=0.7, max_epochs=2, seed=1)
+    assert out.select(*clash).distinct().collect() == [tuple(clash)]
     got = out.collect()
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     leaf = lambda r: ("even" if r["source"] and r["source"][-1] in "02468" else "odd", r["lang"], r["source"])
