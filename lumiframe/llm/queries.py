@@ -34,6 +34,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document that has a line; null and empty texts, and those of blank lines only, have nothing to drop
+    and no row."""
     from lumiframe.llm.line_dedup import line_components
 
     lines = line_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
