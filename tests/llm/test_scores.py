@@ -314,7 +314,7 @@ def test_lm_score(spark):
 def test_lm_gradients():
     rng = np.random.default_rng(1)
     model = AttentionModel(np.array([5.0, 0, 3, 2, 2, 1, 1, 0, 4]))
-    model.p = {k: v.astype(np.float64) + (0.2 * rng.standard_normal(v.shape) if k != "bo" else 0) for k, v in model.p.items()}
+    model.p = {k: v.astype(np.float64) + 0.2 * rng.standard_normal(v.shape) for k, v in model.p.items()}
     ids = rng.integers(0, model.kinds, (3, lm_score.WINDOW + 1))
     _, g = model.gradients(ids)
     for k, v in model.p.items():
@@ -346,7 +346,8 @@ def test_lm_forward_matches_naive_one():
         h = np.concatenate([y, np.maximum(y @ p["m"], 0)])
         soft = lambda z: np.exp(z) / np.exp(z).sum()
         groups = soft(h @ p["g"] + p["bg"])
-        every = np.concatenate([groups[i] * soft(h @ p["o"][i] + p["bo"][i]) for i in range(model.groups)])[:kinds]
+        within = [slice(*model.starts[i : i + 2]) for i in range(model.groups)]
+        every = np.concatenate([groups[i] * soft(h @ p["o"][w].T + p["bo"][w]) for i, w in enumerate(within)])
         by_id = np.array([every[model.index[i]] / (model.unseen if model.index[i] == kinds - 1 else 1) for i in range(10)]) * (1 - lm_score.EVEN) + lm_score.EVEN / 10
         assert by_id.sum() == pytest.approx(1, abs=1e-5)
         return math.log10(by_id[target])
