@@ -3,8 +3,9 @@
 Two linked nodes share a bucket. In a bucket every node is first compared with one pivot only, so a bucket of copies
 costs as many comparisons as it has nodes; profiles rule most of the others out. What the stars have joined into one component needs no further comparison.
 In buckets that still hold several components the profiles of nodes are compared: a profile bounds from above how
-similar two nodes can be. Pairs across components that this doesn't rule out are verified on the spot, as long as their
-components are apart. No link between different components is lost, and pairs never become rows."""
+similar two nodes can be. First each node is verified with the nearest node of another component only, which joins most of a
+group of near copies; then the pairs across components that may be linked become rows and are verified. No link
+between different components is lost."""
 
 from __future__ import annotations
 
@@ -21,8 +22,8 @@ from lumiframe.llm.storage import Scratch
 
 #: A distance at which no link is possible.
 NEVER = np.int32(2**31 - 1)
-#: Nodes, and elements of their sets, of one part of a bucket; larger buckets are compared part by part.
-PART, PART_ELEMENTS = 1024, 1 << 21
+#: Nodes of one part of a bucket; larger buckets are compared part by part.
+PART = 1024
 
 
 #: One node in so many shows which keys are hot; hot is a key that HOT rows of those nodes hold, at most HOT_KEYS of them.
@@ -113,15 +114,15 @@ def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _open_links(left: DataFrame, profiles: DataFrame, content: DataFrame, apart: Callable, load: Callable, linked: Callable) -> DataFrame:
-    """Links (a, b) of a bucket's nodes in different components, verified where the nodes meet. Once a link has joined two
-    components in a task, their other pairs are passed over there: what comes out is never more than the nodes that went in."""
-    sizes = left.join(profiles.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_ELEMENTS)).cast("int").alias("parts"))
-    own = left.join(sizes, "key").join(profiles, "node").join(content, "node")
+def _open_pairs(left: DataFrame, profiles: DataFrame, apart: Callable, nearest: bool) -> DataFrame:
+    """The pairs of a bucket's nodes in different components whose profiles allow a link; with `nearest` only each
+    node's pair of the least distance, so at most one a node."""
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = left.join(sizes, "key").join(profiles, "node")
     own = own.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # a part meets itself and each other part once
     other = F.sequence(F.lit(0), F.col("parts") - 1)
-    own = own.withColumn("o", F.explode(other)).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), F.col("p"), "node", "component", "n", "profile", "content")
+    own = own.withColumn("o", F.explode(other)).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), F.col("p"), "node", "component", "n", "profile")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None  # the last bucket part of what came so far may go on
@@ -139,16 +140,7 @@ def _open_links(left: DataFrame, profiles: DataFrame, content: DataFrame, apart:
             ends = np.append(starts[starts < done], done)
             stop = np.repeat(ends[1:], np.diff(ends))
             prof = np.frombuffer(b"".join(now.column("profile").slice(0, done).to_pylist()), dtype=np.uint8).reshape(done, -1)
-            sets = load(now.column("content").slice(0, done).combine_chunks())
-            top: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while (up := top.get(c, c)) != c:
-                    top[c] = top.get(up, up)
-                    c = up
-                return c
-
-            found: list[tuple[int, int]] = []
+            near, partner = np.full(done, NEVER), np.zeros(done, dtype=np.int64)
             for step in range(1, int(np.diff(ends).max())):
                 x = np.flatnonzero(np.arange(step, done + step) < stop)
                 y = x + step
@@ -156,14 +148,18 @@ def _open_links(left: DataFrame, profiles: DataFrame, content: DataFrame, apart:
                 x, y = x[ok], y[ok]
                 for at in range(0, len(x), 1 << 14):
                     a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                    near = apart(n[a], prof[a], n[b], prof[b]) < NEVER
-                    for u, v in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                        r, t = root(int(comp[u])), root(int(comp[v]))
-                        if r != t and linked(sets[u], sets[v]):
-                            top[max(r, t)] = min(r, t)
-                            found.append((int(node[u]), int(node[v])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                    d = apart(n[a], prof[a], n[b], prof[b])
+                    if nearest:  # a row is at most once in a and at most once in b
+                        for own_, other in ((a, b), (b, a)):
+                            less = d < near[own_]
+                            near[own_[less]], partner[own_[less]] = d[less], other[less]
+                    elif (d < NEVER).any():
+                        a, b = node[a[d < NEVER]], node[b[d < NEVER]]
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if nearest:
+                x = np.flatnonzero(near < NEVER)
+                a, b = node[x], node[partner[x]]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint")
 
@@ -185,9 +181,8 @@ def _possible(pairs: DataFrame, profiles: DataFrame, apart: Callable) -> DataFra
     return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a bigint, b bigint, far int")
 
 
-def link_components(members: DataFrame, profiles: DataFrame, content: DataFrame, apart: Callable, load: Callable, linked: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame) -> DataFrame:
+def link_components(members: DataFrame, profiles: DataFrame, apart: Callable, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame) -> DataFrame:
     """(node, component) of the linked nodes. members: (key, node), distinct and saved; profiles: (node, n, profile);
-    content: (node, content), of which load makes a list of sets and linked(set, set) tells whether two are linked;
     apart(n, profiles, n of the others, their profiles) is a lower bound of how far pairs of nodes lie apart, NEVER where it
     rules out a link; verify takes pairs (a, b) and returns those that are linked; known: links (a, b) that need no
     check.
@@ -201,14 +196,25 @@ def link_components(members: DataFrame, profiles: DataFrame, content: DataFrame,
     near = scratch.save(_possible(stars, profiles, apart), "near")
     best = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
     joined = scratch.save(verify(best), "linked")
-    # the other stars of a node whose two ends have the same pivot need no look; one hop tells most of them
-    label = lambda end: joined.select(F.col("b").alias(end), F.col("a").alias(f"l{end}"))
-    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").distinct()
-    components = _merge(None, joined.unionByName(verify(rest)), known, scratch)
-    left, size = _still_open(members, components, scratch)
-    if size:
-        components = _merge(components, _open_links(left, profiles, content, apart, load, linked), None, scratch)
+    components = _merge(None, joined, known, scratch)
+    side = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = scratch.save(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct(), "rest")
+    scratch.release()
+    if not rest.isEmpty():
+        components = _merge(components, verify(rest), None, scratch)
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = members
+    for nearest in (True, True, False):
+        left, size, cross = _still_open(left, components, scratch)
+        if not size:
+            break
+        if nearest and cross <= 2 * size:
+            continue
+        pairs = scratch.save(_open_pairs(left, profiles, apart, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        scratch.release()
+        components = _merge(components, verify(pairs), None, scratch)
+        tested = tested.unionByName(pairs)
     return components
 
 
@@ -228,9 +234,11 @@ def _merge(components: DataFrame | None, found: DataFrame, known: DataFrame | No
     return scratch.save(moved.unionByName(fresh.select("node", "component")), "components")
 
 
-def _still_open(left: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """The buckets that hold several components, and their rows."""
+def _still_open(left: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, float]:
+    """The buckets that hold several components, their rows, and the pairs of rows across components."""
     named = left.select("key", "node").join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     named = scratch.save(named, "named")
-    several = scratch.save(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n"), "open")
-    return named.join(several.select("key"), "key"), several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    each = scratch.save(each.filter("n * n > own"), "open")
+    size, cross = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
+    return named.join(each.select("key"), "key"), size, cross

@@ -232,6 +232,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     same = scratch.save(narrow.join(first, ["n", "f1", "f2"]).filter("node <> rep").select("node", "rep").distinct(), "same")
 
     met = shared_members(full.select(F.explode("keys").alias("key"), "node"), scratch)
+    keyed, sets = sets, scratch.save(sets.select("node", "n", "profile"), "sizes")
+    scratch.drop(keyed)
+    scratch.release()
     named = scratch.save(met.join(same, "node", "left").select("key", F.coalesce("rep", "node").alias("node")).distinct(), "members-of-sets")
     scratch.drop(met)
     members = distinct_buckets(named, scratch)
@@ -246,7 +249,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         return both.select("a", "b", "ka", "kb").mapInArrow(_verify(num, den), "a bigint, b bigint")
 
-    profiles = full.select("node", "n", "profile")
-    components = link_components(members, profiles, own.select("node", F.col("keys").alias("content")), _apart(num, den), _lists, _linked(num, den), verify, scratch, same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    profiles = sets.filter("n > 0 and node is not null")
+    components = link_components(members, profiles, _apart(num, den), verify, scratch, same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
     scratch.drop(members, own)
     return sets.select("node", "n").join(components, "node", "left").select(F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
