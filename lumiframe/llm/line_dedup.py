@@ -20,21 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm import words as W
-from lumiframe.llm.linking import BITS, bitmap, distinct_buckets, in_bitmap, link_components, shared_members
-from lumiframe.llm.ngram_join import _apart, _profile, _verify
+from lumiframe.llm.linking import BITS, NEVER, bitmap, distinct_buckets, in_bitmap, link_components, shared_members
 from lumiframe.llm.storage import Scratch
 
 SHINGLE, BINS, HASHES, BANDS, ROWS = 8, 72, 3, 9, 8
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of text that are worked on at once: few enough that their arrays stay in the processor's cache.
+SLICE = 1 << 16
+#: Pairs whose nodes are sent to the executors, at most.
+FEW = 100_000
+#: Bits of a line's profile.
+PROFILE = 1024
+_BLACK = np.ones(256, dtype=bool)
+_BLACK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _NONE = np.uint64(2**64 - 1)
+_HALF = np.uint64(32)
+#: Of a key (row, hash) the upper 16 bits are the row, so at most so many rows are worked on at once.
+_ROW, _ROWS_AT_ONCE = np.uint64(48), 1 << 14
 
 
 class Lines:
     """The lines of a slice of texts: text, place in it, trimmed byte range and hash; blank lines have no range."""
 
-    def __init__(self, words: W.Words):
-        data, offsets = words.data, words.offsets
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         breaks = np.flatnonzero(data == 10)
         starts = np.unique(np.concatenate([offsets[:-1], breaks + 1])) if len(data) else offsets[:-1]
         full = np.diff(offsets) > 0
@@ -48,7 +55,7 @@ class Lines:
         head[first] = np.flatnonzero(first)
         self.place = np.arange(len(starts)) - np.maximum.accumulate(head) if len(starts) else head
         self.doc = doc
-        black = np.flatnonzero(~(_BLANK[data] | (data == 10)))
+        black = np.flatnonzero(_BLACK[data])
         lo, hi = np.searchsorted(black, starts), np.searchsorted(black, ends)
         self.real = hi > lo
         safe = black if len(black) else np.zeros(1, np.int64)
@@ -65,30 +72,48 @@ class Lines:
         return (self._total[b] - self._total[a]) * self._down[a]
 
     def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, line) of every shingle of the real lines, in line order."""
-        chars = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
+        """(hash, line's place among the real lines) of every shingle of the real lines, in line order."""
         lines = np.flatnonzero(self.real)
-        lo, hi = np.searchsorted(chars, self.start[lines]), np.searchsorted(chars, self.end[lines])
+        lo, hi, at, up = self.start[lines], self.end[lines], self._total, self._down[: len(self.data)]
+        if len(self.data) and self.data.max() >= 0x80:
+            chars = np.flatnonzero((self.data & 0xC0) != 0x80)
+            lo, hi = np.searchsorted(chars, lo), np.searchsorted(chars, hi)
+            at, up = np.append(at[chars], at[-1]), up[chars]
+        every = (at[size:] - at[:-size]) * up[: len(up) - size + 1] if len(up) >= size else np.zeros(1, dtype=np.uint64)
         n = np.maximum(hi - lo - size + 1, 1)
-        owner = np.repeat(lines, n)
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        stop = np.minimum(at + size, np.repeat(hi, n))
-        return W.mix(self._span(chars[at], chars[stop]) + (stop - at).astype(np.uint64)), owner
+        before = np.cumsum(n) - n
+        place = np.repeat(lo - before, n)
+        place += np.arange(len(place))
+        out = every[np.minimum(place, len(every) - 1, out=place)]
+        short = np.flatnonzero(hi - lo < size)
+        whole = lines[short]
+        out[before[short]] = self._span(self.start[whole], self.end[whole]) + (hi - lo)[short].astype(np.uint64) * W.PLACE[17]
+        return W.mix(out), np.repeat(np.arange(len(lines)), n)
 
 
 def _signature(hashes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
     """(lines, BINS): the least hash of each bin; an empty bin has that of the next full one, changed by its distance."""
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+    bins = hashes >> _HALF
+    bins *= np.uint64(BINS)
+    bins >>= _HALF
+    bins = bins.view(np.int64)
+    bins += owner * BINS
     sig = np.full(lines * BINS, _NONE)
-    np.minimum.at(sig, owner * BINS + bins.astype(np.int64), hashes)
-    sig = sig.reshape(lines, BINS)
-    gaps = np.flatnonzero((sig == _NONE).any(axis=1))
-    if len(gaps):
-        raw, place = sig[gaps], np.arange(2 * BINS, dtype=np.int16)
-        full = np.where(np.tile(raw != _NONE, 2), place, np.int16(2 * BINS))
-        following = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :BINS].astype(np.int64)
-        sig[gaps] = np.take_along_axis(raw, following % BINS, axis=1) + (following - place[:BINS]).astype(np.uint64) * W.PLACE[18]
-    return sig
+    np.minimum.at(sig, bins, hashes)
+    held = sig != _NONE
+    full, empty = np.flatnonzero(held), np.flatnonzero(~held)
+    if len(empty):
+        before = np.zeros(len(sig) + 1, dtype=np.int64)
+        np.cumsum(held, out=before[1:])
+        line = empty // BINS
+        following = before[empty]  # its place in full
+        beyond = following == before[(line + 1) * BINS]
+        following[beyond] = before[line[beyond] * BINS]
+        following = full[following]
+        gap = following - empty
+        gap[beyond] += BINS
+        sig[empty] = sig[following] + gap.astype(np.uint64) * W.PLACE[18]
+    return sig.reshape(lines, BINS)
 
 
 def band_keys(hashes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
@@ -109,10 +134,11 @@ def _signed(size: int):
     """The real lines of documents (doc, line, node); bands where the task hasn't met the line before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.keep_memory()
         met: set[int] = set()
         for batch in batches:
-            for at, words in W.slices(batch.column(1)):
-                lines = Lines(words)
+            for at, data, offsets in W.raw(batch.column(1), SLICE):
+                lines = Lines(data, offsets)
                 real = np.flatnonzero(lines.real)
                 unique, once = np.unique(lines.hash[real], return_index=True)
                 fresh = np.sort(once[[h not in met for h in unique.tolist()]]) if len(once) else once
@@ -122,7 +148,7 @@ def _signed(size: int):
                 lines.real = np.zeros(len(lines.real), dtype=bool)
                 lines.real[real[fresh]] = True
                 hashes, owner = lines.shingles(size)
-                keys = band_keys(hashes, np.searchsorted(real[fresh], owner), len(fresh))
+                keys = band_keys(hashes, owner, len(fresh))
                 has = np.zeros(len(real), dtype=bool)
                 has[fresh] = True
                 cuts = np.concatenate([[0], np.cumsum(has * HASHES * BANDS)]).astype(np.int32)
@@ -143,9 +169,10 @@ def _texts(wanted):
     """(hash, text) of the lines whose slot is in the bitmap `wanted`, once in a slice of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.keep_memory()
         for batch in batches:
-            for _, words in W.slices(batch.column(0)):
-                lines = Lines(words)
+            for _, data, offsets in W.raw(batch.column(0), SLICE):
+                lines = Lines(data, offsets)
                 real = np.flatnonzero(lines.real)
                 node = lines.hash[real].view(np.int64)
                 _, once = np.unique(node, return_index=True)
@@ -157,22 +184,72 @@ def _texts(wanted):
     return run
 
 
-def _line_sets(column: pa.Array, size: int) -> list[np.ndarray]:
-    """The shingle set of each text; a text is one line, its breaks were cut before."""
-    sets = []
-    for _, words in W.slices(column):
-        lines = Lines(words)
+def _line_sets(column: pa.Array, size: int) -> np.ndarray:
+    """The shingle sets of the texts as sorted distinct keys: the row, then 48 bits of a shingle's hash. A text is one line, its
+    breaks were cut before; column has at most 2**16 rows."""
+    keys = [np.zeros(0, dtype=np.uint64)]
+    for at, data, offsets in W.raw(column, SLICE):
+        lines = Lines(data, offsets)
         hashes, owner = lines.shingles(size)
-        bounds = np.searchsorted(lines.doc[owner], np.arange(words.docs + 1))
-        sets += [np.unique(hashes[bounds[d] : bounds[d + 1]]) for d in range(words.docs)]
-    return sets
+        hashes >>= np.uint64(16)
+        hashes |= ((lines.doc[lines.real] + at).astype(np.uint64) << _ROW)[owner]
+        hashes.sort()
+        keys.append(hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])] if len(hashes) else hashes)
+    return np.concatenate(keys)
+
+
+def _profiles(keys: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, PROFILE / 8) bytes: each element of a row's set turns one bit over. Two sets differ in at least as many elements as
+    their profiles differ in bits, and seldom in many more."""
+    place = (keys >> _ROW) * np.uint64(PROFILE) + (keys & np.uint64(PROFILE - 1))
+    odd = np.bincount(place.view(np.int64), minlength=rows * PROFILE).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(rows, PROFILE), axis=1)
+
+
+def _apart(num: int, den: int):
+    """At least how many elements lie in one of two sets only, NEVER beyond what the similarity allows."""
+
+    def test(n: np.ndarray, profiles: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = np.full(len(n), NEVER)
+        at = np.flatnonzero(np.minimum(n, m) * den >= np.maximum(n, m) * num)
+        allowed = n[at] + m[at] - 2 * -(-num * (n[at] + m[at]) // (num + den))
+        differ = np.ascontiguousarray(profiles[at]).view(np.uint64) ^ np.ascontiguousarray(others[at]).view(np.uint64)
+        far = np.bitwise_count(differ).sum(axis=1, dtype=np.int32)
+        out[at] = np.where(far <= allowed, far, NEVER)
+        return out
+
+    return test
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.keep_memory()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows = part.num_rows
+                keys = _line_sets(part.column(1), size)
+                n = np.bincount((keys >> _ROW).view(np.int64), minlength=rows)
+                profile = pa.Array.from_buffers(pa.binary(PROFILE // 8), rows, [None, pa.py_buffer(_profiles(keys, rows).tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), profile.cast(pa.binary()), part.column(1)], names=["node", "n", "profile", "text"])
+
+    return run
+
+
+def _verify(num: int, den: int, size: int):
+    """Of rows (a, b, text of a, text of b), the pairs that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.keep_memory()
         for batch in batches:
-            sets = _line_sets(batch.column(1), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_profile(x) for x in sets], pa.binary()), batch.column(1)], names=["node", "n", "profile", "text"])
+            for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                part = batch.slice(at, _ROWS_AT_ONCE)
+                both = np.concatenate([_line_sets(part.column(i), size) for i in (2, 3)])
+                both.sort()
+                row = lambda keys: np.bincount((keys >> _ROW).view(np.int64), minlength=part.num_rows)  # noqa: E731, B023
+                inter = row(both[1:][both[1:] == both[:-1]])
+                keep = pa.array(inter * den >= num * (row(both) - inter))
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -205,13 +282,13 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = scratch.save(texts.mapInArrow(_sets(shingle), "node bigint, n bigint, profile binary, text string"), "own")
     wanted.destroy()
 
-    def load(column: pa.Array) -> list[np.ndarray]:
-        return _line_sets(column, shingle)
-
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda end: own.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
+        held = own
+        if pairs.limit(FEW + 1).count() <= FEW:  # the texts of all others needn't be shuffled
+            held = own.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+        side = lambda end: held.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
         texts = pairs.join(side("b"), "b").join(side("a"), "a")
-        return texts.select("a", "b", "ta", "tb").mapInArrow(_verify(num, den, load), "a bigint, b bigint")
+        return texts.select("a", "b", "ta", "tb").mapInArrow(_verify(num, den, shingle), "a bigint, b bigint")
 
     none = spark.createDataFrame([], "a bigint, b bigint")
     components = link_components(members, own.select("node", "n", "profile"), _apart(num, den), verify, scratch, none)

@@ -4,8 +4,8 @@ Two linked nodes share a bucket. In a bucket every node is first compared with o
 costs as many comparisons as it has nodes; profiles rule most of the others out. What the stars have joined into one component needs no further comparison.
 In buckets that still hold several components the profiles of nodes are compared: a profile bounds from above how
 similar two nodes can be. First each node is verified with the nearest node of another component only, which joins most of a
-group of near copies; then the pairs across components that may be linked become rows and are verified. No link
-between different components is lost."""
+group of near copies, and nodes without such a node are left out from then on; then the pairs across components that may
+be linked become rows and are verified. No link between different components is lost."""
 
 from __future__ import annotations
 
@@ -185,16 +185,16 @@ def link_components(members: DataFrame, profiles: DataFrame, apart: Callable, ve
     """(node, component) of the linked nodes. members: (key, node), distinct and saved; profiles: (node, n, profile);
     apart(n, profiles, n of the others, their profiles) is a lower bound of how far pairs of nodes lie apart, NEVER where it
     rules out a link; verify takes pairs (a, b) and returns those that are linked; known: links (a, b) that need no
-    check.
+    check. What verify gets is saved.
 
     Of the stars, each node's nearest pivot is verified first; the node's other stars only where that hasn't joined the
     two ends already. Then buckets that still hold several components are compared in parts."""
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))
     pivot = members.groupBy("key").agg(F.min(order)["pivot"].alias("pivot"))
-    stars = members.join(pivot, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    stars = scratch.save(stars.distinct(), "stars")
+    spokes = scratch.save(members.join(pivot, "key").filter("node <> pivot"), "spokes")
+    stars = scratch.save(spokes.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     near = scratch.save(_possible(stars, profiles, apart), "near")
-    best = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
+    best = scratch.save(near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b"), "best")
     joined = scratch.save(verify(best), "linked")
     components = _merge(None, joined, known, scratch)
     side = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
@@ -204,14 +204,18 @@ def link_components(members: DataFrame, profiles: DataFrame, apart: Callable, ve
     if not rest.isEmpty():
         components = _merge(components, verify(rest), None, scratch)
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = members
+    # the pivots' pairs are settled, so a bucket of two nodes is done and others go on without their pivot
+    left = spokes
     for nearest in (True, True, False):
         left, size, cross = _still_open(left, components, scratch)
         if not size:
             break
         if nearest and cross <= 2 * size:
             continue
-        pairs = scratch.save(_open_pairs(left, profiles, apart, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        near = scratch.save(_open_pairs(left, profiles, apart, nearest).distinct(), "near-pairs")
+        if nearest:  # a node that may be linked to no node of another component in its buckets never will be
+            left = left.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        pairs = scratch.save(near.join(tested, ["a", "b"], "left_anti"), "pairs")
         scratch.release()
         components = _merge(components, verify(pairs), None, scratch)
         tested = tested.unionByName(pairs)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumiframe.llm import neighbours
+from lumiframe.llm import line_dedup, linking, neighbours
 from lumiframe.llm import words as W
 from lumiframe.llm.components import connected_components
 from lumiframe.llm.decontamination import _NEAR, RADIUS, Benchmark, HammingIndex, benchmark_hits, decontaminate
@@ -144,6 +144,32 @@ def test_line_dedup_short_lines(spark, tmp_path):
     assert got == {d: 0 if 100 <= d < 200 else 1 for d, _ in rows}
 
 
+def test_buckets_of_two_are_done_after_the_stars(spark, monkeypatch):
+    """Lines that share bands but aren't similar enough meet once; only buckets of three go on to pairs."""
+    calls, inner = [], linking._open_pairs
+    monkeypatch.setattr(linking, "_open_pairs", lambda *a: calls.append(a) or inner(*a))
+    rng = random.Random(7)
+    base = [prose(rng, 40) for _ in range(8)]
+    rows = [(d, b) for d, b in enumerate(base)] + [(50 + d, near(rng, b, 5)) for d, b in enumerate(base)]
+    got = {r["doc_id"]: r["keep"] for r in line_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {d: k for (d, _), k in brute_lines(rows).items()} and sum(got.values()) > 10
+    assert not calls
+
+
+def test_line_profiles_bound_the_difference():
+    """Never more than the elements that lie in one set only, and nearly all of them."""
+    rng = np.random.default_rng(8)
+    low = [chr(97 + i) for i in range(26)]
+    texts = ["".join(rng.choice(low, 300)) for _ in range(60)]
+    others = [t[: 40 + k] + "".join(rng.choice(low, k)) + t[40 + 2 * k :] for k, t in enumerate(texts)]
+    a, b = (line_dedup._line_sets(pa.array(x), 4) for x in (texts, others))
+    p, q = (line_dedup._profiles(x, 60) for x in (a, b))
+    n, m = (np.bincount((x >> np.uint64(48)).astype(int)) for x in (a, b))
+    far = line_dedup._apart(1, 1000)(n, p, m, q)
+    true = [len({s[i : i + 4] for i in range(297)} ^ {t[i : i + 4] for i in range(297)}) for s, t in zip(texts, others, strict=True)]
+    assert all(0.8 * t <= f <= t for f, t in zip(far.tolist(), true, strict=True))
+
+
 def test_neighbour_recall(spark):
     """At least 0.9 against brute force at the defaults, at three sizes, on vectors without any structure."""
     rng = np.random.default_rng(6)
