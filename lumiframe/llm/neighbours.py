@@ -11,17 +11,20 @@ so no task holds more at once, however many queries open a leaf."""
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiframe.llm.storage import Scratch
 
 SAMPLE, TREES, LEAF, PART = 20_000, 12, 192, 4096
+#: Queries that are compared with a part of a leaf at once.
+BLOCK = 256
 #: Of the rule for how many entries a query looks at; measured on vectors without structure, see the README.
 EFFORT, POWER = 12.0, 0.71
 
@@ -96,6 +99,35 @@ def _valid(vector: Column, dim: int | None) -> Column:
     return F.coalesce(usable & (F.size(vector) == dim if dim is not None else F.lit(True)), F.lit(False))
 
 
+#: Rows that a task holds while it merges what its leaves found.
+HELD = 1 << 18
+
+
+def _best(k: int):
+    """Of rows (query_id, s, n: lists) the k least (s, n) of each query in the task, as rows; trees find a row repeatedly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.float64), np.zeros(0, np.int64)]
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                sizes = pa.compute.list_value_length(batch.column(1)).to_numpy()
+                more = np.repeat(batch.column(0).to_numpy(), sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+                held = [np.concatenate(x) for x in zip(held, more, strict=True)]
+            if batch is None or len(held[0]) > HELD:
+                order = np.lexsort((held[2], held[1], held[0]))
+                q, s, n = (x[order] for x in held)
+                new = np.ones(len(q), dtype=bool)
+                new[1:] = (q[1:] != q[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])
+                q, s, n = q[new], s[new], n[new]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                held = [x[first] for x in (q, s, n)]
+                if batch is None or len(held[0]) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query_id", "s", "n"])
+                    held = [x[:0] for x in held]
+
+    return run
+
+
 def nearest_neighbours(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, effort: float = EFFORT, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 7, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -165,22 +197,43 @@ def nearest_neighbours(
     side = side.withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("bigint")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     side, opened = side.select("v", "ids", "tree", "leaf", "part", "turn"), opened.select("query_id", "q", "tree", "leaf", "part", "turn")
 
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x = np.stack(left["v"].to_numpy()).astype(np.float64)
-            ids = left["ids"].to_numpy()
-            queries = right["query_id"].to_numpy()
-            for i, q in enumerate(right["q"]):
-                d = np.sqrt(((x - np.asarray(q, dtype=np.float64)) ** 2).sum(axis=1))
-                edge = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-                near = [(float(d[j]), int(n)) for j in np.flatnonzero(d <= edge) for n in ids[j] if n != queries[i]]
-                near = sorted(near)[:k]
-                out.append((int(queries[i]), [s for s, _ in near], [n for _, n in near]))
-        return pd.DataFrame(out, columns=["query_id", "s", "n"])
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, sizes_of, scores, ids_of = [], [], [], []
+        if left.num_rows and right.num_rows:
+            x, y, queries, ids = matrix(left["v"]), matrix(right["q"]), right["query_id"].to_numpy(), left["ids"].combine_chunks()
+            flat, cuts = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy())])
+            norm, least = (x * x).sum(axis=1), min(len(x), k + 1)
+            for at in range(0, len(y), BLOCK):
+                q = y[at : at + BLOCK]
+                # by products first, with more than their rounding as slack; then exactly, for the few that remain
+                with np.errstate(over="ignore", invalid="ignore"):
+                    far = norm - 2 * (q @ x.T) + (q * q).sum(axis=1)[:, None]
+                    edge = np.partition(far, least - 1, axis=1)[:, least - 1]
+                    slack = 1e-9 * (norm.max() + (q * q).sum(axis=1))
+                    row, entry = np.nonzero(~(far > (edge + slack)[:, None]))  # what overflowed stays
+                d = np.sqrt(((x[entry] - q[row]) ** 2).sum(axis=1))
+                n = cuts[entry + 1] - cuts[entry]
+                row, d = np.repeat(row, n), np.repeat(d, n)
+                found = flat[np.repeat(cuts[entry], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                other = found != queries[at + row]
+                row, d, found = row[other], d[other], found[other]
+                order = np.lexsort((found, d, row))
+                row, d, found = row[order], d[order], found[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                own.append(queries[at : at + len(q)])
+                sizes_of.append(np.bincount(row[first], minlength=len(q)))
+                scores.append(d[first])
+                ids_of.append(found[first])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        bounds = pa.array(np.concatenate([[0], np.cumsum(join(sizes_of, np.int64))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(join(parts, kind))) for parts, kind in ((scores, np.float64), (ids_of, np.int64))]
+        return pa.table({"query_id": pa.array(join(own, np.int64)), "s": lists[0], "n": lists[1]})
 
     keys = ["tree", "leaf", "part", "turn"]
-    found = side.groupBy(*keys).cogroup(opened.groupBy(*keys)).applyInPandas(rerank, "query_id bigint, s array<double>, n array<bigint>")
-    near = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("s", "n"))).alias("near"))
-    best = near.select("query_id", F.posexplode(F.slice(F.array_sort(F.array_distinct("near")), 1, k)).alias("p", "b"))
-    return best.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.n").alias(id_col), F.col("b.s").alias("score"))
+    found = side.groupBy(*keys).cogroup(opened.groupBy(*keys)).applyInArrow(rerank, "query_id bigint, s array<double>, n array<bigint>")
+    each = found.mapInArrow(_best(k), "query_id bigint, s double, n bigint").groupBy("query_id", "n").agg(F.min("s").alias("s"))
+    best = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("s", "n"))).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.col("n").alias(id_col), F.col("s").alias("score"))

@@ -207,10 +207,22 @@ def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PART", 7)  # leaves and their queries in parts
     parts = nearest_neighbours(df, F.col("vec_id") % 50 == 0, k=10, leaf=32, effort=1e9).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in parts} == {(q, n, v) for q, f in got.items() for n, v, _ in f}
+    far = df.select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 1e170).alias("embedding"))  # squares overflow
+    assert len(nearest_neighbours(far, F.col("vec_id") == 50, k=10, leaf=32).collect()) == 10
     assert nearest_neighbours(df.limit(0), F.lit(True)).collect() == []
     assert nearest_neighbours(df.filter("vec_id = 3"), F.lit(True)).collect() == []
 
 
+def test_neighbours_found_by_several_trees_are_merged(monkeypatch):
+    rows = [([5, 7], [[0.5, 1.0, 2.0], [0.25]], [[3, 4, 9], [8]]), ([5, 5], [[0.5, 0.75], [1.0, 1.5]], [[3, 6], [4, 2]])]
+    batches = [pa.RecordBatch.from_pydict({"query_id": pa.array(q), "s": pa.array(s), "n": pa.array(n)}) for q, s, n in rows]
+    for held in (1 << 18, 3):
+        monkeypatch.setattr(neighbours, "HELD", held)
+        got = {x for b in neighbours._best(3)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        want = {(5, 0.5, 3), (5, 0.75, 6), (5, 1.0, 4), (7, 0.25, 8)}
+        assert got == want if held > 3 else got >= want
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(i, prose(rng, n)) for i, n in enumerate([15, 16, 20, 27, 33, 40, 52, 59, 80])]
