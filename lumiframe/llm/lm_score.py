@@ -10,12 +10,13 @@ subwords' probabilities by the chain rule; nothing else enters it.
 Each text is cut into windows of WINDOW subwords of which the last STRIDE are scored, the ones before are context: every
 token is scored once.
 
-Training takes one text in 24 (SHARE; more of a small corpus), chosen by a hash, so it grows with the corpus and no text's
-part depends on its place. In each of ROUNDS rounds every task trains on its texts of that round from the same start, and the
-results are averaged by the number of windows: neither texts nor gradients meet in one place."""
+Training takes every subword of every training text once (of a small corpus several times). A hash deals the texts to ROUNDS
+rounds; in each of them every task trains on its texts of that round from the same start, and the results are averaged by the
+number of windows: neither texts nor gradients meet in one place."""
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -29,9 +30,11 @@ from lumiframe.llm import words as W
 from lumiframe.llm.storage import Scratch
 
 WINDOW, STRIDE, WIDTH, INNER = 24, 20, 32, 64
-#: Share of the training texts that the weights are fitted on; of a small corpus more, so that LEAST subwords are, but
-#: none more than EPOCHS times.
-SHARE, LEAST, EPOCHS = 1 / 24, 3_000_000, 8
+#: The weights are fitted on all training texts once, on those of a small corpus more often, so that LEAST subwords are
+#: seen, but none more than EPOCHS times.
+LEAST, EPOCHS = 3_000_000, 8
+#: Places on the circle by which texts are dealt to the rounds.
+PLACES = 1 << 30
 ROUNDS, BATCH, RATE = 4, 96, 0.01
 #: Weight of the even distribution over all ids.
 EVEN = 1e-4
@@ -96,6 +99,8 @@ class AttentionModel:
         order = np.lexsort((np.arange(n), -counts))
         used = order[counts[order] > 0]
         self.kinds = len(used) + 1
+        #: integers of 16 bits, which most vocabularies fit in, are sorted in linear time
+        self.narrow = np.min_scalar_type(self.kinds)
         #: place of an id among the kinds; the last kind stands for all ids without a count
         self.index = np.full(n, self.kinds - 1, dtype=np.int32)
         self.index[used] = np.arange(len(used))
@@ -149,31 +154,26 @@ class AttentionModel:
         np.exp(e, out=e)
         e *= near[low:]
         a = np.matmul(e, np.take(value, context, axis=0))
-        a /= e.sum(axis=2, keepdims=True)
+        # sums over short rows are products with ones, which is several times as fast as sum()
+        a /= (e.reshape(-1, WINDOW) @ np.ones(WINDOW, e.dtype)).reshape(*e.shape[:2], 1)
         a += np.take(p["E"], late, axis=0)
         h = np.empty((a.shape[0] * a.shape[1], WIDTH + INNER), dtype=a.dtype)
         h[:, :WIDTH] = a.reshape(-1, WIDTH)
         np.maximum(h[:, :WIDTH] @ p["m"], 0, out=h[:, WIDTH:])
         return h
 
-    def _by_group(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
-        for i in np.flatnonzero(np.diff(cuts)):
-            yield int(i), order[cuts[i] : cuts[i + 1]]
-
     def score(self, context: np.ndarray, low: int, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities. context: (windows, WINDOW) kinds; targets: (windows, places from low on) kinds."""
         h, p, kinds = self._hidden(context, low), self.p, targets.ravel()
         # in the order of the targets, so that each group's rows are a slice
-        order = np.argsort(kinds, kind="stable")
-        h, sorted_kinds = h[order], kinds[order]
+        order = np.argsort(kinds.astype(self.narrow), kind="stable")
+        h, sorted_kinds = np.take(h, order, axis=0), kinds[order]
         group = self.group[sorted_kinds]
         z = h @ p["g"]
         z += p["bg"]
         cost = z[np.arange(len(z)), group]
         np.exp(z, out=z)
-        cost -= np.log(z.sum(axis=1))
+        cost -= np.log(z @ np.ones(z.shape[1], z.dtype))
         cuts = np.searchsorted(sorted_kinds, self.starts)
         for i in np.flatnonzero(np.diff(cuts)):
             lo, hi, a, b = cuts[i], cuts[i + 1], self.starts[i], self.starts[i + 1]
@@ -181,7 +181,7 @@ class AttentionModel:
             z += p["bo"][a:b]
             own = z[np.arange(hi - lo), sorted_kinds[lo:hi] - a]
             np.exp(z, out=z)
-            cost[lo:hi] += own - np.log(z.sum(axis=1))
+            cost[lo:hi] += own - np.log(z @ np.ones(b - a, z.dtype))
         out = np.empty_like(cost)
         out[order] = cost
         share = np.exp(out)
@@ -191,69 +191,108 @@ class AttentionModel:
 
     def gradients(self, ids: np.ndarray) -> tuple[float, dict]:
         """Mean loss (before the even share) and its gradients over windows of WINDOW + 1 kinds; all places count."""
-        p, s = self.p, np.float32(WIDTH**-0.5)
+        p, s, d = self.p, np.float32(WIDTH**-0.5), WIDTH
         context, targets = ids[:, :-1], ids[:, 1:].ravel()
-        x = p["E"][context]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        e = np.exp(np.clip(np.matmul(q, k.transpose(0, 2, 1)) * s, -20, 20) + p["r"][self.distance]) * self.mask
-        w = e / e.sum(axis=2, keepdims=True)
-        y = x + np.matmul(w, v)
-        flat = y.reshape(-1, WIDTH)
-        up = np.maximum(flat @ p["m"], 0)
-        h = np.concatenate([flat, up], axis=1)
         n = len(targets)
-        group = self.group[targets]
+        x = np.take(p["E"], context.ravel(), axis=0)
+        qkv = np.concatenate([p["q"] * s, p["k"], p["v"]], axis=1)
+        own = (x @ qkv).reshape(*context.shape, 3 * d)
+        q, k, v = own[..., :d], own[..., d : 2 * d], own[..., 2 * d :]
+        w = np.matmul(q, k.transpose(0, 2, 1))
+        np.clip(w, -20, 20, out=w)
+        np.exp(w, out=w)
+        w *= np.exp(p["r"][self.distance]) * self.mask
+        w /= (w.reshape(n, WINDOW) @ np.ones(WINDOW, w.dtype)).reshape(*context.shape, 1)
+        flat = np.matmul(w, v).reshape(n, d)
+        flat += x
+        # in the order of the targets, so that each group's rows are a slice
+        order = np.argsort(targets.astype(self.narrow), kind="stable")
+        kinds = targets[order]
+        h = np.empty((n, d + INNER), dtype=flat.dtype)
+        np.take(flat, order, axis=0, out=h[:, :d])
+        up = np.maximum(h[:, :d] @ p["m"], 0, out=h[:, d:])
 
         def softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
             """The loss of the own entries; z becomes its gradient."""
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
             rows = np.arange(len(z))
-            cost = -np.log(z[rows, own] + 1e-12)
-            z[rows, own] -= 1
-            z /= n
+            np.minimum(z, 80, out=z)
+            cost = -z[rows, own]
+            np.exp(z, out=z)
+            total = z @ np.ones(z.shape[1], z.dtype)
+            z *= (1 / (total * n))[:, None]
+            z[rows, own] -= z.dtype.type(1 / n)
+            cost += np.log(total)
             return cost
 
-        z = h @ p["g"] + p["bg"]
-        loss = softmax(z, group)
-        g = {"g": h.T @ z, "bg": z.sum(axis=0), "o": np.zeros_like(p["o"]), "bo": np.zeros_like(p["bo"])}
+        z = h @ p["g"]
+        z += p["bg"]
+        loss = softmax(z, self.group[kinds])
+        g = {"g": h.T @ z, "bg": np.ones(n, z.dtype) @ z, "o": np.zeros_like(p["o"]), "bo": np.zeros_like(p["bo"])}
         dh = z @ p["g"].T
-        for i, rows in self._by_group(group):
-            own, a, b = h[rows], self.starts[i], self.starts[i + 1]
-            z = own @ p["o"][a:b].T + p["bo"][a:b]
-            loss[rows] += softmax(z, targets[rows] - a)
-            g["o"][a:b], g["bo"][a:b] = z.T @ own, z.sum(axis=0)
+        cuts = np.searchsorted(kinds, self.starts)
+        for i in np.flatnonzero(np.diff(cuts)):
+            rows, a, b = slice(cuts[i], cuts[i + 1]), self.starts[i], self.starts[i + 1]
+            z = h[rows] @ p["o"][a:b].T
+            z += p["bo"][a:b]
+            loss[rows] += softmax(z, kinds[rows] - a)
+            g["o"][a:b], g["bo"][a:b] = z.T @ h[rows], np.ones(len(z), z.dtype) @ z
             dh[rows] += z @ p["o"][a:b]
-        dup = dh[:, WIDTH:] * (up > 0)
-        g["m"] = flat.T @ dup
-        dy = (dh[:, :WIDTH] + dup @ p["m"].T).reshape(y.shape)
-        dw, dv = np.matmul(dy, v.transpose(0, 2, 1)), np.matmul(w.transpose(0, 2, 1), dy)
-        de = w * (dw - (dw * w).sum(axis=2, keepdims=True))
+        dup = dh[:, d:]
+        dup *= up > 0
+        g["m"] = h[:, :d].T @ dup
+        dh[:, :d] += dup @ p["m"].T
+        dx = np.empty((n, d), dtype=dh.dtype)
+        dx[order] = dh[:, :d]
+        dy = dx.reshape(*context.shape, d)
+        down = np.empty_like(own)
+        np.matmul(w.transpose(0, 2, 1), dy, out=down[..., 2 * d :])
+        de = np.matmul(dy, v.transpose(0, 2, 1))
+        # the sum of weights times their gradients is what was attended times its gradient
+        de -= np.einsum("ij,ij->i", flat - x, dx).reshape(*context.shape, 1)
+        de *= w
         g["r"] = np.bincount(self.distance.ravel(), (de.sum(axis=0) * self.mask).ravel(), minlength=WINDOW).astype(de.dtype)
-        de *= s
-        dq, dk = np.matmul(de, k), np.matmul(de.transpose(0, 2, 1), q)
-        dx = dy + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        for c, dc in (("q", dq), ("k", dk), ("v", dv)):
-            g[c] = x.reshape(-1, WIDTH).T @ dc.reshape(-1, WIDTH)
-        order = np.argsort(context.ravel(), kind="stable")
-        kinds, first = np.unique(context.ravel()[order], return_index=True)
+        np.matmul(de, k, out=down[..., :d])
+        np.matmul(de.transpose(0, 2, 1), q, out=down[..., d : 2 * d])
+        down = down.reshape(n, 3 * d)
+        dqkv = x.T @ down
+        g["q"], g["k"], g["v"] = dqkv[:, :d] * s, dqkv[:, d : 2 * d], dqkv[:, 2 * d :]
+        dx += down @ qkv.T
+        order = np.argsort(context.ravel().astype(self.narrow), kind="stable")
+        met = context.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
         g["E"] = np.zeros_like(p["E"])
-        g["E"][kinds] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
+        g["E"][met[first]] = np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
         return float(loss.mean()), g
 
     def fit(self, batches: Iterator[np.ndarray], rate: float = RATE) -> list[float]:
         """Adam over batches of windows of WINDOW + 1 kinds, with a rising rate at first."""
-        one, two = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        one, two = (np.zeros(sum(v.size for v in self.p.values()), dtype=np.float32) for _ in range(2))
+        whole, cuts = self.vector(), np.cumsum([0, *(self.p[k].size for k in sorted(self.p))])
+        # the parameters are views of one vector, which is worked on in parts that stay in the processor's cache
+        self.p = {k: whole[a:b].reshape(self.p[k].shape) for k, a, b in zip(sorted(self.p), cuts, cuts[1:])}
         losses = []
         for step, ids in enumerate(batches, 1):
-            loss, g = self.gradients(ids)
+            loss, found = self.gradients(ids)
             losses.append(loss)
             lr = rate * min(1.0, step / 30)
-            for k in self.p:
-                one[k] += np.float32(0.1) * (g[k] - one[k])
-                two[k] += np.float32(0.01) * (g[k] ** 2 - two[k])
-                self.p[k] = (self.p[k] - lr * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            scale, root = np.float32(lr / (1 - 0.9**step)), np.float32((1 - 0.99**step) ** -0.5)
+            change = np.concatenate([found[k].ravel() for k in sorted(found)])
+            for at in range(0, len(whole), 1 << 14):
+                part = slice(at, at + (1 << 14))
+                g, m, v = change[part], one[part], two[part]
+                z = g - m
+                z *= np.float32(0.1)
+                m += z
+                np.multiply(g, g, out=z)
+                z -= v
+                z *= np.float32(0.01)
+                v += z
+                np.sqrt(v, out=z)
+                z *= root
+                z += np.float32(1e-8)
+                np.divide(m, z, out=z)
+                z *= scale
+                whole[part] -= z
         self.__dict__.pop("_tables", None)
         return losses
 
@@ -310,12 +349,14 @@ def _windows(texts: Iterator[pa.Array], model: AttentionModel, sub: Subwords, ti
         yield ready[at : at + BATCH]
 
 
-def _train(learned: DataFrame, model: AttentionModel, sent_model, subwords: float) -> None:
-    """Fits the model on learned (text, h: hash of the row from 0 to 1) in rounds of averaged local training."""
-    spark, total = learned.sparkSession, min(EPOCHS, max(SHARE, LEAST / max(subwords, 1.0)))
-    share = min(1.0, total / ROUNDS)
+def _train(learned: DataFrame, model: AttentionModel, sent_model, subwords: float) -> int:
+    """Fits the model on all learned (text, h: hash of the row from 0 to PLACES - 1) in rounds of averaged local training.
+    Returns the number of windows it was fitted on."""
+    spark, total, fitted = learned.sparkSession, min(EPOCHS, max(1.0, LEAST / max(subwords, 1.0))), 0
+    # arcs of at least 1 / ROUNDS of the circle, one after the other: together they hold every place
+    share = min(PLACES, math.ceil(total / ROUNDS * PLACES))
     for turn in range(ROUNDS):
-        low = turn * share % 1.0
+        low = turn * share % PLACES
         sent = spark.sparkContext.broadcast(pickle.dumps(model))
         rate = RATE * (1 - 0.85 * turn / (ROUNDS - 1))
 
@@ -345,12 +386,14 @@ def _train(learned: DataFrame, model: AttentionModel, sent_model, subwords: floa
             for chunk, (n, v) in sums.items():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "n": pa.array([n], pa.int64()), "v": pa.array([(v / n).astype(np.float32).tobytes()], pa.binary())})
 
-        part = learned.filter((F.col("h") >= low) & (F.col("h") < low + share)).select("text")
+        part = learned.filter(F.pmod(F.col("h") - low, F.lit(PLACES)) < share).select("text")
         kind = "chunk int, n bigint, v binary"
         found = part.mapInArrow(run, kind).repartition("chunk").mapInArrow(mean, kind).collect()
         if found:
             model.set_vector(np.concatenate([np.frombuffer(r["v"], dtype=np.float32) for r in sorted(found, key=lambda r: r["chunk"])]))
+            fitted += found[0]["n"]
         sent.destroy()
+    return fitted
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +466,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         shares[r["i"]] = r["c"]
     shares[-1] = max(ends, 1)
     model = AttentionModel(shares)
-    place = (F.pmod(F.xxhash64(F.col("kept")[id_col], F.col("text"), F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("h")
+    place = F.pmod(F.xxhash64(F.col("kept")[id_col], F.col("text"), F.lit(1)), F.lit(PLACES)).cast("bigint").alias("h")
     _train(learned.select("text", place), model, sent_model, float(shares.sum()))
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
 

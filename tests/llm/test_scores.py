@@ -9,6 +9,7 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,22 @@ def test_lm_gradients():
             assert (cost[0] - cost[1]) / 2e-5 == pytest.approx(np.asarray(g[k]).flat[at], abs=1e-6), k
 
 
+def test_lm_training_takes_every_text(spark):
+    """However large the corpus is said to be, each subword is a target of one window."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["one", "two", "three", "four"], 60)) for _ in range(300)]
+    data = open(lm_score.VOCABULARY, "rb").read()
+    flat = lm_score._stream(next(lm_score.W.slices(pa.array(texts)))[1], lm_score.Subwords(data))[0]
+    for said in (1e12, 1_900_000):  # once, and 1.6 times
+        model = AttentionModel(np.bincount(flat, minlength=flat.max() + 1).astype(float))
+        h = F.pmod(F.xxhash64("i"), F.lit(lm_score.PLACES))
+        learned = spark.createDataFrame(list(enumerate(texts)), "i bigint, text string").repartition(2, "i").select("text", h.alias("h"))
+        seen = lm_score._train(learned, model, spark.sparkContext.broadcast(data), said) * lm_score.WINDOW
+        most = max(1.0, lm_score.LEAST / said)
+        assert 0.95 * most * len(flat) <= seen <= 1.05 * most * len(flat) + lm_score.ROUNDS * 2 * lm_score.WINDOW
+        assert seen >= len(flat)
+
+
 def test_lm_forward_matches_naive_one():
     """Every token of every text is scored once, with the window's context and nothing after it."""
     rng, counts = np.random.default_rng(2), np.array([50.0, 0, 30, 20, 0, 10, 9, 8, 7, 40])
