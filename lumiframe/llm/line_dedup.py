@@ -28,7 +28,7 @@ SHINGLE, BINS, HASHES, BANDS, ROWS = 8, 72, 3, 9, 8
 SLICE = 1 << 16
 #: Pairs whose nodes are sent to the executors, at most.
 FEW = 100_000
-#: Bits of a line's profile.
+#: Bits of a line's profile, at most; a line of fewer shingles has a shorter one (see _width).
 PROFILE = 1024
 _BLACK = np.ones(256, dtype=bool)
 _BLACK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -206,6 +206,28 @@ def _profiles(keys: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd.reshape(rows, PROFILE), axis=1)
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """Bytes of the profile of a set of n: the least power of two of at least n bits, from PROFILE / 8 to PROFILE bits."""
+    return (PROFILE // 64) << np.searchsorted(PROFILE // 8 * np.array([1, 2, 4]), n)
+
+
+def _folded(profiles: np.ndarray, width: int) -> np.ndarray:
+    """Profiles of `width` bytes from longer ones: bits that fall together are added, so each is again the parity of its
+    elements."""
+    return np.bitwise_xor.reduce(profiles.reshape(len(profiles), -1, width), axis=1)
+
+
+def _short(profiles: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Profiles of PROFILE bits, each folded to the width of its set's size n."""
+    size = _width(n)
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    data = np.zeros(cuts[-1], dtype=np.uint8)
+    for width in np.unique(size).tolist():
+        rows = np.flatnonzero(size == width)
+        data[cuts[rows][:, None] + np.arange(width)] = _folded(profiles[rows], width)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def _apart(num: int, den: int):
     """At least how many elements lie in one of two sets only, NEVER beyond what the similarity allows."""
 
@@ -213,9 +235,16 @@ def _apart(num: int, den: int):
         out = np.full(len(n), NEVER)
         at = np.flatnonzero(np.minimum(n, m) * den >= np.maximum(n, m) * num)
         allowed = n[at] + m[at] - 2 * -(-num * (n[at] + m[at]) // (num + den))
-        differ = np.ascontiguousarray(profiles[at]).view(np.uint64) ^ np.ascontiguousarray(others[at]).view(np.uint64)
-        far = np.bitwise_count(differ).sum(axis=1, dtype=np.int32)
-        out[at] = np.where(far <= allowed, far, NEVER)
+        own, its = _width(n[at]), _width(m[at])
+        shared = min(profiles.shape[1], others.shape[1])  # equal widths: what follows is zeros, or more of both
+        for x, y in {*zip(own.tolist(), its.tolist(), strict=True)}:
+            rows = np.flatnonzero((own == x) & (its == y))
+            if x == y:
+                a, b = (np.ascontiguousarray(p[at[rows], :shared]) for p in (profiles, others))
+            else:
+                a, b = (_folded(p[at[rows], :w], min(x, y)) for p, w in ((profiles, x), (others, y)))
+            far = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=1, dtype=np.int32)
+            out[at[rows]] = np.where(far <= allowed[rows], far, NEVER)
         return out
 
     return test
@@ -230,8 +259,8 @@ def _sets(size: int):
                 rows = part.num_rows
                 keys = _line_sets(part.column(1), size)
                 n = np.bincount((keys >> _ROW).view(np.int64), minlength=rows)
-                profile = pa.Array.from_buffers(pa.binary(PROFILE // 8), rows, [None, pa.py_buffer(_profiles(keys, rows).tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), profile.cast(pa.binary()), part.column(1)], names=["node", "n", "profile", "text"])
+                profile = _short(_profiles(keys, rows), n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), profile, part.column(1)], names=["node", "n", "profile", "text"])
 
     return run
 

@@ -114,6 +114,20 @@ def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Profiles as rows of bytes; shorter ones end in zeros."""
+    values = column.to_pylist()
+    size = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    data = np.frombuffer(b"".join(values), dtype=np.uint8)
+    if (size == size[0]).all():
+        return data.reshape(len(values), -1)
+    out, first = np.zeros((len(values), size.max()), dtype=np.uint8), np.cumsum(size) - size
+    for width in np.unique(size):
+        rows = np.flatnonzero(size == width)
+        out[rows, :width] = data[first[rows][:, None] + np.arange(width)]
+    return out
+
+
 def _open_pairs(left: DataFrame, profiles: DataFrame, apart: Callable, nearest: bool) -> DataFrame:
     """The pairs of a bucket's nodes in different components whose profiles allow a link; with `nearest` only each
     node's pair of the least distance, so at most one a node."""
@@ -139,7 +153,7 @@ def _open_pairs(left: DataFrame, profiles: DataFrame, apart: Callable, nearest:
                 continue
             ends = np.append(starts[starts < done], done)
             stop = np.repeat(ends[1:], np.diff(ends))
-            prof = np.frombuffer(b"".join(now.column("profile").slice(0, done).to_pylist()), dtype=np.uint8).reshape(done, -1)
+            prof = _matrix(now.column("profile").slice(0, done))
             near, partner = np.full(done, NEVER), np.zeros(done, dtype=np.int64)
             for step in range(1, int(np.diff(ends).max())):
                 x = np.flatnonzero(np.arange(step, done + step) < stop)
@@ -171,7 +185,7 @@ def _possible(pairs: DataFrame, profiles: DataFrame, apart: Callable) -> DataFra
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(i).to_numpy() for i in (2, 4))
-                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (3, 5))
+                p, q = (_matrix(batch.column(i)) for i in (3, 5))
                 far = apart(n, p, m, q)
                 keep = pa.array(far < NEVER)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(keep) for i in (0, 1)), pa.array(far.astype(np.int32)).filter(keep)], names=["a", "b", "far"])

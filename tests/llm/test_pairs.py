@@ -170,6 +170,31 @@ def test_line_profiles_bound_the_difference():
     assert all(0.8 * t <= f <= t for f, t in zip(far.tolist(), true, strict=True))
 
 
+def test_short_lines_have_short_profiles():
+    """A profile has at most a byte for four shingles beyond 128 bits, and folded ones bound the difference too."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for size in (1, 5, 100, 128, 129, 150, 256, 257, 300, 512, 513, 900):
+        own = rng.integers(0, 1 << 48, size).astype(np.uint64)
+        new = rng.integers(0, 1 << 48, size // 6).astype(np.uint64)
+        sets += [own, np.append(own[size // 12 :], new[: size // 12]), np.append(own, new)]
+    sets = [np.unique(s) for s in sets]
+    n = np.array([len(s) for s in sets])
+    keys = np.concatenate([s | np.uint64(i << 48) for i, s in enumerate(sets)])
+    short = line_dedup._short(line_dedup._profiles(keys, len(sets)), n)
+    assert all(len(p) <= max(16, k // 4) for p, k in zip(short.to_pylist(), n.tolist(), strict=True))
+    profiles = linking._matrix(short)
+    i, j = np.triu_indices(len(sets), 1)
+    far = line_dedup._apart(80, 100)(n[i], profiles[i], n[j], profiles[j])
+    linked = 0
+    for a, b, f in zip(i, j, far.tolist(), strict=True):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * common >= 80 * (n[a] + n[b] - common):
+            linked += 1
+            assert f <= n[a] + n[b] - 2 * common
+    assert linked >= 24 and (far < linking.NEVER).sum() < 2 * linked
+
+
 def test_neighbour_recall(spark):
     """At least 0.9 against brute force at the defaults, at three sizes, on vectors without any structure."""
     rng = np.random.default_rng(6)
