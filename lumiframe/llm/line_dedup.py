@@ -5,13 +5,13 @@ whole of it). With a character inside changed, lines stay linked from 39 charact
 shingles of 8. One-permutation MinHash fills 72 bins from one hash a shingle, three times; empty bins borrow from the next
 full one. Each signature gives nine bands of eight bins; the 27 find a pair of similarity 0.8 with a probability above
 0.99, of 0.9 with one above 0.99999. Lines of one language that have nothing else in common are similar by 0.1 to 0.3
-and seldom meet, in a large corpus too. Keys are shuffled a signature at a time, so that a third of them is on disk.
-Lines that share a band are joined by the bucket stars of `linking`, each link verified on the whole shingle sets, which
-are made from the texts of the pairs that the profiles don't rule out."""
+and seldom meet, in a large corpus too. The keys, with the line and the level of its set's size, are shuffled once, 14 bytes
+each, and lines that meet in a band part again where their sizes rule out a link. The others are compared by the pairs and
+the bucket stars of `linking`, each link verified on the whole shingle sets, which are made from the texts of the pairs that
+the profiles don't rule out; other texts aren't shuffled."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.llm import words as W
-from lumiframe.llm.linking import BITS, NEVER, bitmap, distinct_buckets, in_bitmap, link_components, shared_members
+from lumiframe.llm.linking import BITS, DEALT, EXTRA, MEMBER, NEVER, PAIR, ROW, bitmap, deal_keys, deal_rows, distinct_buckets, in_bitmap, levels, link_components, met, part_bits
 from lumiframe.llm.storage import Scratch
 
 SHINGLE, BINS, HASHES, BANDS, ROWS = 8, 72, 3, 9, 8
@@ -126,50 +126,59 @@ def band_keys(hashes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
     return out
 
 
-#: Lines whose hashes a task remembers, at most.
-REMEMBERED = 1_000_000
+def _distinct(hashes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
+    """How many distinct hashes (48 bits, as in _line_sets) each line has; every line has one."""
+    out = []
+    for at in range(0, lines, 1 << 16):
+        a, b = np.searchsorted(owner, [at, at + (1 << 16)]) if lines > 1 << 16 else (0, len(owner))
+        keys = _set_keys(hashes[a:b].copy(), owner[a:b] - at)
+        out.append(np.bincount((keys >> _ROW).view(np.int64), minlength=min(lines - at, 1 << 16)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def _signed(size: int):
-    """The real lines of documents (doc, line, node); bands where the task hasn't met the line before."""
+#: Lines whose hashes a task remembers, and whose keys it deals out at once, at most.
+REMEMBERED, AT_ONCE = 1_000_000, 1 << 15
+
+
+def _signed(size: int, bits: int):
+    """The real lines of documents (doc, line, node), and the keys of those that the task hasn't met before, dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.keep_memory()
         met: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []  # of lines that are all in met
         for batch in batches:
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc = batch.column(0).fill_null(0).to_numpy()
             for at, data, offsets in W.raw(batch.column(1), SLICE):
                 lines = Lines(data, offsets)
                 real = np.flatnonzero(lines.real)
+                row = at + lines.doc[real]
+                yield from deal_rows(doc[row], lines.place[real].astype(np.int64), lines.hash[real].view(np.int64), null[row])
                 unique, once = np.unique(lines.hash[real], return_index=True)
                 fresh = np.sort(once[[h not in met for h in unique.tolist()]]) if len(once) else once
-                if len(met) >= REMEMBERED:
-                    met.clear()
                 met.update(unique.tolist())
                 lines.real = np.zeros(len(lines.real), dtype=bool)
                 lines.real[real[fresh]] = True
                 hashes, owner = lines.shingles(size)
-                keys = band_keys(hashes, owner, len(fresh))
-                has = np.zeros(len(real), dtype=bool)
-                has[fresh] = True
-                cuts = np.concatenate([[0], np.cumsum(has * HASHES * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(at + lines.doc[real])),
-                        pa.array(lines.place[real].astype(np.int64)),
-                        pa.array(lines.hash[real].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel().view(np.int64))),
-                    ],
-                    names=["doc", "line", "node", "bands"],
-                )
+                held.append((band_keys(hashes, owner, len(fresh)), lines.hash[real[fresh]], levels(_distinct(hashes, owner, len(fresh)))))
+                if sum(len(x[1]) for x in held) >= AT_ONCE:
+                    yield from deal_keys(*map(np.concatenate, zip(*held, strict=True)), bits)
+                    held = []
+                    if len(met) >= REMEMBERED:
+                        met.clear()
+        if held:
+            yield from deal_keys(*map(np.concatenate, zip(*held, strict=True)), bits)
 
     return run
 
 
-def _texts(wanted):
-    """(hash, text) of the lines whose slot is in the bitmap `wanted`, once in a slice of documents."""
+def _wanted(wanted, size: int):
+    """(hash, n, profile, text) of the lines whose slot is in the bitmap `wanted`, once in a task while it remembers them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.keep_memory()
+        met: set[int] = set()
         for batch in batches:
             for _, data, offsets in W.raw(batch.column(0), SLICE):
                 lines = Lines(data, offsets)
@@ -177,13 +186,32 @@ def _texts(wanted):
                 node = lines.hash[real].view(np.int64)
                 _, once = np.unique(node, return_index=True)
                 once = once[in_bitmap(wanted.value, node[once] & (BITS - 1))]
-                real, node = real[once], node[once]
-                values = [lines.data[a:b].tobytes() for a, b in zip(lines.start[real], lines.end[real], strict=True)]
-                yield pa.RecordBatch.from_pydict({"node": pa.array(node), "text": pa.array(values, pa.binary()).cast(pa.string())})
+                once = once[[h not in met for h in node[once].tolist()]] if len(once) else once
+                if len(met) >= REMEMBERED:
+                    met.clear()
+                met.update(node[once].tolist())
+                real = np.sort(real[once])
+                for at in range(0, len(real), 1000):
+                    own = real[at : at + 1000]
+                    text = pa.array([lines.data[a:b].tobytes() for a, b in zip(lines.start[own], lines.end[own], strict=True)], pa.binary()).cast(pa.string())
+                    lines.real = np.zeros(len(lines.real), dtype=bool)
+                    lines.real[own] = True
+                    hashes, owner = lines.shingles(size)
+                    keys = _set_keys(hashes, owner)
+                    n = np.bincount((keys >> _ROW).view(np.int64), minlength=len(own))
+                    yield pa.RecordBatch.from_arrays([pa.array(lines.hash[own].view(np.int64)), pa.array(n.astype(np.int64)), _short(_profiles(keys, len(own)), n), text], names=["node", "n", "profile", "text"])
 
     return run
 
 
+def _set_keys(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys (row, 48 bits of the hash); changes hashes."""
+    hashes >>= np.uint64(16)
+    hashes |= row.astype(np.uint64) << _ROW
+    hashes.sort()
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])] if len(hashes) else hashes
+
+
 def _line_sets(column: pa.Array, size: int) -> np.ndarray:
     """The shingle sets of the texts as sorted distinct keys: the row, then 48 bits of a shingle's hash. A text is one line, its
     breaks were cut before; column has at most 2**16 rows."""
@@ -191,10 +219,7 @@ def _line_sets(column: pa.Array, size: int) -> np.ndarray:
     for at, data, offsets in W.raw(column, SLICE):
         lines = Lines(data, offsets)
         hashes, owner = lines.shingles(size)
-        hashes >>= np.uint64(16)
-        hashes |= ((lines.doc[lines.real] + at).astype(np.uint64) << _ROW)[owner]
-        hashes.sort()
-        keys.append(hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])] if len(hashes) else hashes)
+        keys.append(_set_keys(hashes, lines.doc[lines.real][owner] + at))
     return np.concatenate(keys)
 
 
@@ -250,21 +275,6 @@ def _apart(num: int, den: int):
     return test
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        W.keep_memory()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = part.num_rows
-                keys = _line_sets(part.column(1), size)
-                n = np.bincount((keys >> _ROW).view(np.int64), minlength=rows)
-                profile = _short(_profiles(keys, rows), n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), profile, part.column(1)], names=["node", "n", "profile", "text"])
-
-    return run
-
-
 def _verify(num: int, den: int, size: int):
     """Of rows (a, b, text of a, text of b), the pairs that are linked."""
 
@@ -293,42 +303,43 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line-dedup")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    signed = scratch.save(base.mapInArrow(_signed(shingle), "doc bigint, line bigint, node bigint, bands array<bigint>"), "signed")
-    parts = []
-    for j in range(HASHES):
-        parts.append(shared_members(signed.select(F.explode(F.slice("bands", j * BANDS + 1, BANDS)).alias("key"), "node"), scratch))
-        scratch.release()
-    shared = functools.reduce(DataFrame.unionByName, parts)
-    lines = scratch.save(signed.select("doc", "line", "node"), "lines")
-    scratch.drop(signed)
+    dealt = base.mapInArrow(_signed(shingle, part_bits(spark)), DEALT)
+    found = met(dealt, num, den, scratch)
     scratch.release()
-    members = distinct_buckets(shared, scratch)
-    scratch.drop(*parts)
-
+    lines = found.filter(F.col("kind") == ROW).select(F.col("a").alias("doc"), F.col("b").alias("line"), F.col("c").alias("node"))
+    small = found.filter(F.col("kind") == PAIR).select("a", "b")
+    members = found.filter(F.col("kind").isin(MEMBER, EXTRA)).select(F.col("a").alias("key"), F.col("b").alias("node"))
+    if not found.filter(F.col("kind") == EXTRA).isEmpty():
+        members = scratch.save(members.distinct(), "shared")
+    members = distinct_buckets(members, scratch)
+
+    nodes = members.select("node").unionByName(small.select(F.explode(F.array("a", "b")).alias("node")))
     # the bitmap spares the shuffle of lines that share no band
-    wanted = spark.sparkContext.broadcast(bitmap(members, F.pmod("node", F.lit(BITS)).cast("bigint")))
-    texts = base.select("text").mapInArrow(_texts(wanted), "node bigint, text string").dropDuplicates(["node"])
-    own = scratch.save(texts.mapInArrow(_sets(shingle), "node bigint, n bigint, profile binary, text string"), "own")
+    wanted = spark.sparkContext.broadcast(bitmap(nodes, F.pmod("node", F.lit(BITS)).cast("bigint")))
+    # texts stay where they are written, once for each task that has the line; only those of pairs are shuffled
+    own = scratch.save(base.select("text").mapInArrow(_wanted(wanted, shingle), "node bigint, n bigint, profile binary, text string"), "own")
     wanted.destroy()
+    profiles = scratch.save(own.select("node", "n", "profile").dropDuplicates(["node"]), "profiles")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        held = own
-        if pairs.limit(FEW + 1).count() <= FEW:  # the texts of all others needn't be shuffled
-            held = own.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = own.select("node", "text").join(F.broadcast(ends) if pairs.limit(FEW + 1).count() <= FEW else ends, "node", "left_semi").dropDuplicates(["node"])
         side = lambda end: held.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
         texts = pairs.join(side("b"), "b").join(side("a"), "a")
         return texts.select("a", "b", "ta", "tb").mapInArrow(_verify(num, den, shingle), "a bigint, b bigint")
 
     none = spark.createDataFrame([], "a bigint, b bigint")
-    components = link_components(members, own.select("node", "n", "profile"), _apart(num, den), verify, scratch, none)
-    scratch.drop(members, own)
-    place = F.struct(F.col("doc").isNull().alias("last"), "doc", "line").alias("place")
-    first = lines.select("node", place).groupBy("node").agg(F.min("place").alias("place"))
-    named = scratch.save(first.join(components, "node", "left").select("node", "place", F.coalesce("component", "node").alias("component")), "named")
-    best = named.groupBy("component").agg(F.min("place").alias("best"))
-    chosen = named.join(best, "component").select("node", "component", "best")
-    out = lines.select("doc", "line", "node").join(chosen, "node")
-    return out.select(F.col("doc").alias(id_col), "line", "component", (F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("line") == F.col("best.line"))).alias("keep"))
+    components = link_components(members, profiles, _apart(num, den), verify, scratch, none, small)
+    scratch.drop(members, own, profiles)
+    named = lines.join(components, "node", "left").select("doc", "line", F.coalesce("component", "node").alias("component"))
+    named = scratch.save(named, "named")
+    scratch.drop(found)
+    place = F.struct(F.col("doc").isNull().alias("last"), "doc", "line")
+    # a component of one line keeps it
+    best = named.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("n")).filter("n > 1").select("component", "best")
+    out = named.join(scratch.save(best, "best"), "component", "left")
+    first = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("line") == F.col("best.line"))
+    return out.select(F.col("doc").alias(id_col), "line", "component", (F.col("best").isNull() | first).alias("keep"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, shingle: int = SHINGLE) -> DataFrame:

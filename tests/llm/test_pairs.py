@@ -349,3 +349,65 @@ def test_words():
     (_, w), = list(W.slices(pa.array(texts)))
     assert [[w.text(i).decode() for i in range(w.first[d], w.first[d + 1])] for d in range(6)] == [["a", "B", "c"], [], [], ["ab"], ["Ab", "cD"], ["é", "É"]]
     assert w.hash[0] != w.hash[1] and w.hash[w.first[3]] == w.hash[w.first[4]]
+
+
+def _spread_keys(rng, nodes, keys, groups):
+    """Random keys and levels of nodes, of which some keys are shared by two to `groups` nodes."""
+    own = rng.integers(0, 2**63, (nodes, keys), dtype=np.uint64) * np.uint64(2)
+    for size in [*rng.integers(2, 9, 60), 30, 31, 40, groups]:
+        own[rng.choice(nodes, size, replace=False), rng.integers(keys)] = rng.integers(0, 2**63, dtype=np.uint64)
+    return own
+
+
+def test_dealt_keys_lose_no_pair():
+    """Nodes that share a key and may be linked by their sizes come out as a pair or in one bucket, whatever the batches; what
+    else meets doesn't; and no part gets a key's group."""
+    rng = np.random.default_rng(11)
+    keys, nodes = _spread_keys(rng, 400, 5, 150), rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sizes = rng.choice([20, 26, 33, 41, 90, 112], 400)
+    level, apart = linking.levels(sizes), linking.levels_apart(80, 100)
+    a, b = np.meshgrid(np.arange(1, 3000), np.arange(1, 3000))
+    assert (np.abs(linking.levels(a).astype(int) - linking.levels(b))[(a * 10 >= b * 8) & (b * 10 >= a * 8)] <= apart).all()
+    # two tasks that have a few lines in common
+    dealt = [r for x in (np.arange(250), np.arange(240, 400)) for r in linking.deal_keys(keys[x], nodes[x], level[x], 12)]
+    dealt += [*linking.deal_rows(np.array([5, 0]), np.array([7, 8]), np.array([9, 10]), np.array([False, True]))]
+    rows = pa.Table.from_batches(dealt).sort_by("part")
+    assert sum(map(len, rows.column(1).filter(pa.compute.greater_equal(rows.column(0), 0)).to_pylist())) <= 400 * 5 * 15
+    for size in (1, 7, 1000):
+        got = [r for batch in linking._met(apart)(iter(rows.to_batches(size))) for r in batch.to_pylist()]
+        assert sorted((r["a"] or 0, r["b"], r["c"]) for r in got if r["kind"] == linking.ROW) == [(0, 8, 10), (5, 7, 9)]
+        assert sum(r["kind"] == linking.EXTRA for r in got) > 100 - linking.SENT
+        met, buckets = {(r["a"], r["b"]) for r in got if r["kind"] == linking.PAIR}, {}
+        for r in got:
+            if r["kind"] in (linking.MEMBER, linking.EXTRA):
+                buckets.setdefault(r["a"], set()).add(r["b"])
+        met |= {(x, y) for own in buckets.values() for x in own for y in own if x < y}
+        want, ids, some = set(), nodes.view(np.int64).tolist(), set()
+        for j in range(5):
+            for i, k in zip(*np.nonzero(keys[:, j][:, None] == keys[:, j]), strict=True):
+                if ids[i] < ids[k]:
+                    (want if abs(int(level[i]) - int(level[k])) <= apart else some).add((ids[i], ids[k]))
+        assert want <= met <= want | some and len(want) > 1000
+        assert len([x for x in met - want if not any(len(b) >= linking.SENT and x[0] in b for b in buckets.values())]) < len(some - want) / 10
+
+
+def test_line_dedup_large_groups(spark):
+    """More near copies in one task than it sends to one part, and lines that meet them."""
+    rng = random.Random(12)
+    base = prose(rng, 60)
+    rows = [(d, near(rng, base, rng.choice([0, 1, 2]))) for d in range(120)] + [(200 + d, near(rng, base[: 40 + 12 * d], 1) + prose(rng, 3)) for d in range(20)]
+    got = line_components(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {(r["doc_id"], r["line"]): r["keep"] for r in got} == brute_lines(rows)
+
+
+def test_line_keys_are_in_no_table(spark):
+    """Keys of lines without a partner are 14 bytes of a shuffle, and no table has them."""
+    rng = random.Random(13)
+    df = spark.createDataFrame([(d, "\n".join(prose(rng, 30, 10**6) for _ in range(20))) for d in range(200)], "doc_id bigint, text string")
+    with Scratch(spark, "keys") as scratch:
+        tables = {}
+        save = scratch.save
+        scratch.save = lambda t, label="t": tables.setdefault(label, []).append(t := save(t, label)) or t
+        lines = line_components(df, scratch=scratch)
+        assert lines.filter("keep").count() == 4000
+        assert not any(kind.startswith("array") for found in tables.values() for t in found for _, kind in t.dtypes)
