@@ -90,6 +90,25 @@ class Subwords:
         return start, number, self.flat
 
 
+def _exponentials(h: np.ndarray, w: np.ndarray, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials of the logits h @ w + b, their sum in each row, each row's own logit). In rows whose sum leaves the range of
+    float32, all three are of the logits less the largest; a largest logit of each row would take longer than the rest."""
+    z = h @ w
+    z += b
+    mine = z[np.arange(len(z)), own]
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[1], z.dtype)
+    far = np.flatnonzero(~((total > 1e-25) & (total < 1e25)))
+    if len(far):
+        some = h[far] @ w + b
+        most = some.max(axis=1)
+        z[far] = np.exp(some - most[:, None])
+        total[far] = z[far].sum(axis=1)
+        mine[far] = some[np.arange(len(far)), own[far]] - most
+    return z, total, mine
+
+
 class AttentionModel:
     """One causal attention layer with weights by distance, one hidden layer, two softmaxes; parameters are float32 arrays."""
 
@@ -169,19 +188,13 @@ class AttentionModel:
         order = np.argsort(kinds.astype(self.narrow), kind="stable")
         h, sorted_kinds = np.take(h, order, axis=0), kinds[order]
         group = self.group[sorted_kinds]
-        z = h @ p["g"]
-        z += p["bg"]
-        cost = z[np.arange(len(z)), group]
-        np.exp(z, out=z)
-        cost -= np.log(z @ np.ones(z.shape[1], z.dtype))
+        _, total, cost = _exponentials(h, p["g"], p["bg"], group)
+        cost -= np.log(total)
         cuts = np.searchsorted(sorted_kinds, self.starts)
         for i in np.flatnonzero(np.diff(cuts)):
             lo, hi, a, b = cuts[i], cuts[i + 1], self.starts[i], self.starts[i + 1]
-            z = h[lo:hi] @ p["o"][a:b].T
-            z += p["bo"][a:b]
-            own = z[np.arange(hi - lo), sorted_kinds[lo:hi] - a]
-            np.exp(z, out=z)
-            cost[lo:hi] += own - np.log(z @ np.ones(b - a, z.dtype))
+            _, total, own = _exponentials(h[lo:hi], p["o"][a:b].T, p["bo"][a:b], sorted_kinds[lo:hi] - a)
+            cost[lo:hi] += own - np.log(total)
         out = np.empty_like(cost)
         out[order] = cost
         share = np.exp(out)
@@ -212,29 +225,21 @@ class AttentionModel:
         np.take(flat, order, axis=0, out=h[:, :d])
         up = np.maximum(h[:, :d] @ p["m"], 0, out=h[:, d:])
 
-        def softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-            """The loss of the own entries; z becomes its gradient."""
-            rows = np.arange(len(z))
-            np.minimum(z, 80, out=z)
-            cost = -z[rows, own]
-            np.exp(z, out=z)
-            total = z @ np.ones(z.shape[1], z.dtype)
+        def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(loss of the own entries, its gradient by the logits)."""
+            z, total, mine = _exponentials(h, w, b, own)
             z *= (1 / (total * n))[:, None]
-            z[rows, own] -= z.dtype.type(1 / n)
-            cost += np.log(total)
-            return cost
+            z[np.arange(len(z)), own] -= z.dtype.type(1 / n)
+            return np.log(total) - mine, z
 
-        z = h @ p["g"]
-        z += p["bg"]
-        loss = softmax(z, self.group[kinds])
+        loss, z = softmax(h, p["g"], p["bg"], self.group[kinds])
         g = {"g": h.T @ z, "bg": np.ones(n, z.dtype) @ z, "o": np.zeros_like(p["o"]), "bo": np.zeros_like(p["bo"])}
         dh = z @ p["g"].T
         cuts = np.searchsorted(kinds, self.starts)
         for i in np.flatnonzero(np.diff(cuts)):
             rows, a, b = slice(cuts[i], cuts[i + 1]), self.starts[i], self.starts[i + 1]
-            z = h[rows] @ p["o"][a:b].T
-            z += p["bo"][a:b]
-            loss[rows] += softmax(z, kinds[rows] - a)
+            cost, z = softmax(h[rows], p["o"][a:b].T, p["bo"][a:b], kinds[rows] - a)
+            loss[rows] += cost
             g["o"][a:b], g["bo"][a:b] = z.T @ h[rows], np.ones(len(z), z.dtype) @ z
             dh[rows] += z @ p["o"][a:b]
         dup = dh[:, d:]
@@ -391,6 +396,8 @@ def _train(learned: DataFrame, model: AttentionModel, sent_model, subwords: floa
         found = part.mapInArrow(run, kind).repartition("chunk").mapInArrow(mean, kind).collect()
         if found:
             model.set_vector(np.concatenate([np.frombuffer(r["v"], dtype=np.float32) for r in sorted(found, key=lambda r: r["chunk"])]))
+            if not np.isfinite(model.vector()).all():
+                raise ArithmeticError(f"round {turn} of the training left weights that aren't finite")
             fitted += found[0]["n"]
         sent.destroy()
     return fitted

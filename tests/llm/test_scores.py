@@ -328,6 +328,24 @@ def test_lm_gradients():
             assert (cost[0] - cost[1]) / 2e-5 == pytest.approx(np.asarray(g[k]).flat[at], abs=1e-6), k
 
 
+def test_lm_softmaxes_at_any_level():
+    """Logits that all are far below or above 0 have the same probabilities and gradients; in float32 their exponentials vanish
+    or overflow."""
+    rng = np.random.default_rng(4)
+    model = AttentionModel(np.array([5.0, 0, 3, 2, 2, 1, 1, 0, 4]))
+    ids = rng.integers(0, model.kinds, (40, lm_score.WINDOW + 1))
+    score = lambda: model.score(ids[:, :-1], 0, ids[:, 1:])
+    logs, (loss, g) = score(), model.gradients(ids)
+    for name in ("bg", "bo"):
+        for level in (-200, 200):
+            model.p[name] += np.float32(level)
+            assert score() == pytest.approx(logs, abs=1e-3), (name, level)
+            cost, found = model.gradients(ids)
+            assert cost == pytest.approx(loss, abs=1e-3), (name, level)
+            assert all(found[k] == pytest.approx(g[k], abs=1e-4) for k in g), (name, level)
+            model.p[name] -= np.float32(level)
+
+
 def test_lm_training_takes_every_text(spark):
     """However large the corpus is said to be, each subword is a target of one window."""
     rng = np.random.default_rng(5)
