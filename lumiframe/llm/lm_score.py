@@ -36,6 +36,9 @@ LEAST, EPOCHS = 3_000_000, 8
 #: Places on the circle by which texts are dealt to the rounds.
 PLACES = 1 << 30
 ROUNDS, BATCH, RATE = 4, 96, 0.01
+#: For each so many subwords of the training texts a batch has BATCH windows, but no more than MOST times BATCH; the rate grows by
+#: the power 0.8 of that. A window costs a quarter less in a large batch, and a large corpus has steps enough.
+STEADY, MOST = 12_000_000, 4
 #: Weight of the even distribution over all ids.
 EVEN = 1e-4
 #: Values of a parameter vector that travel as one row.
@@ -207,10 +210,17 @@ class AttentionModel:
         p, s, d = self.p, np.float32(WIDTH**-0.5), WIDTH
         context, targets = ids[:, :-1], ids[:, 1:].ravel()
         n = len(targets)
-        x = np.take(p["E"], context.ravel(), axis=0)
+        # what depends on a place's kind alone is worked out once for each kind that the batch holds
+        turned = np.argsort(context.ravel().astype(self.narrow), kind="stable")
+        met = context.ravel()[turned]
+        starts = np.concatenate([[True], met[1:] != met[:-1]])
+        place, met, starts = np.cumsum(starts) - 1, met[starts], np.flatnonzero(starts)
+        place[turned] = place.copy()
         qkv = np.concatenate([p["q"] * s, p["k"], p["v"]], axis=1)
-        own = (x @ qkv).reshape(*context.shape, 3 * d)
-        q, k, v = own[..., :d], own[..., d : 2 * d], own[..., 2 * d :]
+        table = p["E"][met]
+        own = np.take(np.concatenate([table @ qkv, table], axis=1), place, axis=0)
+        x, own = own[:, 3 * d :], own.reshape(*context.shape, 4 * d)
+        q, k, v = own[..., :d], own[..., d : 2 * d], own[..., 2 * d : 3 * d]
         w = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(w, -20, 20, out=w)
         np.exp(w, out=w)
@@ -246,11 +256,11 @@ class AttentionModel:
         dup *= up > 0
         g["m"] = h[:, :d].T @ dup
         dh[:, :d] += dup @ p["m"].T
-        dx = np.empty((n, d), dtype=dh.dtype)
-        dx[order] = dh[:, :d]
-        dy = dx.reshape(*context.shape, d)
         down = np.empty_like(own)
-        np.matmul(w.transpose(0, 2, 1), dy, out=down[..., 2 * d :])
+        dx = down.reshape(n, 4 * d)[:, 3 * d :]
+        dx[order] = dh[:, :d]
+        dy = down[..., 3 * d :]
+        np.matmul(w.transpose(0, 2, 1), dy, out=down[..., 2 * d : 3 * d])
         de = np.matmul(dy, v.transpose(0, 2, 1))
         # the sum of weights times their gradients is what was attended times its gradient
         de -= np.einsum("ij,ij->i", flat - x, dx).reshape(*context.shape, 1)
@@ -258,15 +268,11 @@ class AttentionModel:
         g["r"] = np.bincount(self.distance.ravel(), (de.sum(axis=0) * self.mask).ravel(), minlength=WINDOW).astype(de.dtype)
         np.matmul(de, k, out=down[..., :d])
         np.matmul(de.transpose(0, 2, 1), q, out=down[..., d : 2 * d])
-        down = down.reshape(n, 3 * d)
-        dqkv = x.T @ down
+        by_kind = np.add.reduceat(np.take(down.reshape(n, 4 * d), turned, axis=0), starts, axis=0)
+        dqkv = table.T @ by_kind[:, : 3 * d]
         g["q"], g["k"], g["v"] = dqkv[:, :d] * s, dqkv[:, d : 2 * d], dqkv[:, 2 * d :]
-        dx += down @ qkv.T
-        order = np.argsort(context.ravel().astype(self.narrow), kind="stable")
-        met = context.ravel()[order]
-        first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
         g["E"] = np.zeros_like(p["E"])
-        g["E"][met[first]] = np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
+        g["E"][met] = by_kind[:, 3 * d :] + by_kind[:, : 3 * d] @ qkv.T
         return float(loss.mean()), g
 
     def fit(self, batches: Iterator[np.ndarray], rate: float = RATE) -> list[float]:
@@ -322,15 +328,15 @@ class AttentionModel:
         low, high = (done - begin).astype(np.int32), np.minimum(lengths[doc] - begin, WINDOW).astype(np.int32)
         for chosen, at in ((np.flatnonzero(turn == 0), 0), (np.flatnonzero(turn > 0), WINDOW - STRIDE)):
             places = np.arange(at, WINDOW, dtype=np.int32)
-            for k in range(0, len(chosen), 256):  # few enough to stay in the processor's cache
-                w = chosen[k : k + 256]
+            for k in range(0, len(chosen), 512):  # few enough to stay in the processor's cache
+                w = chosen[k : k + 512]
                 logs = self.score(contexts[place[w]], at, targets[place[w]][:, at:])
                 inside = (places >= low[w][:, None]) & (places < high[w][:, None])
                 out[(place[w][:, None] + places)[inside]] = logs[inside]
         return out / np.float32(np.log(10))
 
 
-def _windows(texts: Iterator[pa.Array], model: AttentionModel, sub: Subwords, times: float, rng: np.random.Generator) -> Iterator[np.ndarray]:
+def _windows(texts: Iterator[pa.Array], model: AttentionModel, sub: Subwords, times: float, rng: np.random.Generator, batch: int = BATCH) -> Iterator[np.ndarray]:
     """Batches of windows of WINDOW + 1 kinds from texts parted by the end; each window comes `times` times on average."""
     end, rest, ready = model.index[-1:], model.index[-1:], np.zeros((0, WINDOW + 1), dtype=np.int32)
     for column in texts:
@@ -341,17 +347,17 @@ def _windows(texts: Iterator[pa.Array], model: AttentionModel, sub: Subwords, ti
             if n:
                 rows = np.lib.stride_tricks.sliding_window_view(stream[: n * WINDOW + 1], WINDOW + 1)[::WINDOW]
                 ready = np.concatenate([ready, np.repeat(rows, np.floor(times + rng.random(n)).astype(np.int64), axis=0)])
-            if len(ready) >= 32 * BATCH:
+            if len(ready) >= 32 * batch:
                 ready = rng.permutation(ready)
-                while len(ready) >= 16 * BATCH:
-                    yield ready[:BATCH]
-                    ready = ready[BATCH:]
+                while len(ready) >= 16 * batch:
+                    yield ready[:batch]
+                    ready = ready[batch:]
     if len(rest) > 1:
         padded = np.concatenate([rest, np.repeat(end, WINDOW)])[: WINDOW + 1]
         ready = np.concatenate([ready, np.repeat(padded[None], int(times + rng.random()), axis=0)])
     ready = rng.permutation(ready)
-    for at in range(0, len(ready), BATCH):
-        yield ready[at : at + BATCH]
+    for at in range(0, len(ready), batch):
+        yield ready[at : at + batch]
 
 
 def _train(learned: DataFrame, model: AttentionModel, sent_model, subwords: float) -> int:
@@ -360,10 +366,11 @@ def _train(learned: DataFrame, model: AttentionModel, sent_model, subwords: floa
     spark, total, fitted = learned.sparkSession, min(EPOCHS, max(1.0, LEAST / max(subwords, 1.0))), 0
     # arcs of at least 1 / ROUNDS of the circle, one after the other: together they hold every place
     share = min(PLACES, math.ceil(total / ROUNDS * PLACES))
+    larger = int(min(MOST, max(1, subwords // STEADY)))
     for turn in range(ROUNDS):
         low = turn * share % PLACES
         sent = spark.sparkContext.broadcast(pickle.dumps(model))
-        rate = RATE * (1 - 0.85 * turn / (ROUNDS - 1))
+        rate = RATE * larger**0.8 * (1 - 0.85 * turn / (ROUNDS - 1))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn, rate=rate) -> Iterator[pa.RecordBatch]:
             own, sub = pickle.loads(sent.value), _subwords(sent_model)
@@ -371,7 +378,7 @@ def _train(learned: DataFrame, model: AttentionModel, sent_model, subwords: floa
 
             def counted() -> Iterator[np.ndarray]:
                 nonlocal seen
-                for ids in _windows((b.column(0) for b in batches), own, sub, max(1.0, total / ROUNDS), rng):
+                for ids in _windows((b.column(0) for b in batches), own, sub, max(1.0, total / ROUNDS), rng, larger * BATCH):
                     seen += len(ids)
                     yield ids
 

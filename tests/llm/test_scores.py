@@ -346,6 +346,20 @@ def test_lm_softmaxes_at_any_level():
             model.p[name] -= np.float32(level)
 
 
+def test_lm_batches_hold_every_window():
+    """Whatever their size, batches hold the same windows, each once."""
+    rng = np.random.default_rng(6)
+    texts = pa.array([" ".join(rng.choice(["one", "two", "three", "four"], 700)) for _ in range(900)])
+    sub = lm_score.Subwords(open(lm_score.VOCABULARY, "rb").read())
+    model = AttentionModel(np.ones(sub.size + 1))
+    found = []
+    for size in (lm_score.BATCH, lm_score.BATCH * lm_score.MOST):
+        batches = list(lm_score._windows(iter([texts[:400], texts[400:]]), model, sub, 1.0, np.random.default_rng(0), size))
+        assert {len(b) for b in batches[:-1]} == {size} and 0 < len(batches[-1]) <= size
+        found.append(sorted(map(tuple, np.concatenate(batches).tolist())))
+    assert found[0] == found[1] and len(found[0]) > 32 * lm_score.BATCH * lm_score.MOST
+
+
 def test_lm_training_takes_every_text(spark):
     """However large the corpus is said to be, each subword is a target of one window."""
     rng = np.random.default_rng(5)
