@@ -328,6 +328,16 @@ def test_lm_gradients():
             assert (cost[0] - cost[1]) / 2e-5 == pytest.approx(np.asarray(g[k]).flat[at], abs=1e-6), k
 
 
+def test_lm_run_sums():
+    rng = np.random.default_rng(5)
+    for size in ([1], [lm_score.SHORT], [lm_score.SHORT + 1], [1, 700, 2, 8, 9, 1, 7, 40, 1], rng.integers(1, 20, 300)):
+        starts = np.cumsum([0, *size[:-1]])
+        rows = rng.standard_normal((sum(size), 6)).astype(np.float32)
+        found = lm_score._run_sums(rows, starts)
+        naive = [rows[a : a + n].astype(np.float64).sum(axis=0) for a, n in zip(starts, size, strict=True)]
+        assert found.dtype == rows.dtype and np.allclose(found, naive, atol=1e-4)
+
+
 def test_lm_softmaxes_at_any_level():
     """Logits that all are far below or above 0 have the same probabilities and gradients; in float32 their exponentials vanish
     or overflow."""
